@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, leaks, overlap, packing, raking, splits
+from factloom.llm import bpe, leaks, markup, overlap, packing, raking, sentences, splits, stuffing, truncation
 from factloom.llm.common import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.detect(table(spark, d, "task1_gold")).select("row_id", "field")
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "task1_gold")
+    return truncation.rates(truncation.detect(records), records)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.chained_papers(table(spark, d, "task1_gold"))
 
@@ -54,6 +63,22 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return raking.draw(table(spark, d, "task1_gold"), table(spark, d, "sample_targets"))[1]
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "task1_gold").where(F.lower("use_context") == "yes"))
+
+
+def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "task1_gold"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.residue(table(spark, d, "task1_gold"))
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.residue(table(spark, d, "task1_gold"), cleaned=True)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"))
 
@@ -66,6 +91,14 @@ def p9_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.summary(p9_pack(spark, d), table(spark, d, "pack_specs"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.judged(table(spark, d, "documents")).where("stuffed").select("doc_id")
+
+
+def p10_labels(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.judged(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: (int(x[0][1 : x[0].index("_")]), x[0])))
