@@ -36,8 +36,9 @@ ENDS, SEEN = 0.12, 5
 
 SPACE = regex.compile(r"\s+")
 ENDED = regex.compile(rf"({sentences.MARK}+)((?:{sentences.CLOSERS}|\s)*{sentences.CITATION}*)\s*$")
-ABBREVIATED = regex.compile(r"(?<![\p{L}\p{M}\p{N}])(?:" + sentences._words(" ".join(sentences.NEVER_LAST.values())) + r"|\p{L}|[Ee]\.g|[Ii]\.e|[ap]\.m|U\.S|EE\. UU|z\. B|d\. h|т\. е|p\. ex|p\. ej|c\.-à-d)\.$")
+ABBREVIATED = regex.compile(r"(?<![-\p{L}\p{M}\p{N}])(?:" + sentences._words(" ".join(sentences.NEVER_LAST.values())) + r"|(?<![-\p{L}\p{N}])\p{L}|[Ee]\.g|[Ii]\.e|[ap]\.m|U\.S|EE\. UU|z\. B|d\. h|т\. е|p\. ex|p\. ej|c\.-à-d)\.$")
 TOKEN = regex.compile(r"\p{N}+(?:[.,]\p{N}+)*|[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{M}]+(?:[-+’'][\p{L}\p{M}\p{N}]*)*|\S")
+FINAL_MARKS = frozenset(".!?。！？।؟")
 QUOTES = (("“", "”"), ("«", "»"), ("„", "“”"), ("「", "」"))
 
 
@@ -57,7 +58,7 @@ def open_quote(text: str) -> bool:
 def finished(text: str) -> int:
     """2: ends with a sentence. 1: ends with a mark that may be within one (a number's point). 0: neither."""
     m = ENDED.search(text)
-    if m is None or open_quote(text[-400:]):
+    if m is None or open_quote(text):
         return 0
     if m[2].strip():
         return 2
@@ -66,7 +67,7 @@ def finished(text: str) -> int:
         return 0
     if regex.search(r"(?<![\p{N}.,])\p{N}+\.$", head):
         return 1
-    return 2 if head[-2:-1].strip() else 0
+    return 2
 
 
 def between(tail: str, after: str) -> bool:
@@ -106,7 +107,7 @@ def _hash(text: str) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-VALUE_SCHEMA = "row_id bigint, source string, field string, chars int, bytes int, broken boolean, ended int, step int, prefix bigint, rest string, tail string, length int, two bigint, one bigint, word boolean"
+VALUE_SCHEMA = "row_id bigint, source string, field string, chars int, bytes int, broken boolean, ended int, step int, prefix bigint, rest string, tail string, length int, two bigint, one bigint, word boolean, number boolean"
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +123,10 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = len(text) // STEP * STEP
             tokens = grams(text[-200:])
             last = tokens[-1] if tokens else ""
-            two = "\x1f".join([field, *tokens[-2:]])
-            rows.append((row_id, source, field, len(raw), len(raw.encode("utf-8", "surrogatepass")), broken, ended, step, _hash(field + text[:step]), text[step:], text[-120:], len(text), _hash(two), _hash(field + "\x1f" + last), last[:1].isalpha() and last != "N"))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 15
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+            two = "\x1f".join(tokens[-2:])
+            rows.append((row_id, source, field, len(raw), len(raw.encode("utf-8", "surrogatepass")), broken, ended, step, _hash(field + text[:step]), text[step:], text[-120:], len(text), _hash(two), _hash(last), last[:1].isalpha() and last != "N", last[:1].isdigit()))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 16
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
         names = [x.split()[0] for x in VALUE_SCHEMA.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -146,19 +147,21 @@ def _ladder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often every pair of neighbouring words, and every word, ends a value or goes on; summed up within the partition."""
+    """How often every pair of neighbouring words, and every word, ends a value (a final mark may follow) or goes on; summed up within the partition."""
     ends: Counter = Counter()
     goes: Counter = Counter()
-    fields: set[str] = set()
     for batch in batches:
-        for field, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for raw in batch.column(0).to_pylist():
             tokens = grams(raw)
-            if tokens:
-                fields.add(field)
-                ends[field, *tokens[-2:]] += 1
-                ends[field, tokens[-1]] += 1
-                goes.update([(field, a, b) for a, b in zip(tokens[:-2], tokens[1:-1], strict=True)])
-                goes.update([(field, a) for a in tokens[:-1]])
+            n = len(tokens)
+            if not n:
+                continue
+            last = 2 if n > 1 and tokens[-1] in FINAL_MARKS else 1
+            for k in range(last):
+                ends[tuple(tokens[max(0, n - k - 2) : n - k])] += 1
+                ends[(tokens[n - k - 1],)] += 1
+            goes.update(zip(tokens[: n - last - 1], tokens[1 : n - last], strict=True))
+            goes.update([(x,) for x in tokens[: n - last]])
     keys = list({*ends, *goes})
     yield pa.RecordBatch.from_arrays([pa.array([_hash("\x1f".join(k)) for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([goes[k] for k in keys], pa.int64())], names=["gram", "ends", "goes"])
 
@@ -197,12 +200,12 @@ def detect(records: DataFrame, fields: tuple[str, ...] = ("caption", "context"),
     at = F.coalesce(F.array_contains("in_chars", F.col("chars")), F.lit(False)) | F.coalesce(F.exists("in_bytes", lambda b: (F.col("bytes") <= b) & (F.col("bytes") > b - 4) & (F.col("bytes") > F.col("chars"))), F.lit(False))
     known = known.join(of, ["source", "field"], "left").withColumn("at_limit", at)
     # endings
-    counts = texts.select("field", "text").mapInArrow(_counts, "gram bigint, ends bigint, goes bigint").groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
+    counts = texts.select("text").mapInArrow(_counts, "gram bigint, ends bigint, goes bigint").groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
     two = counts.select(F.col("gram").alias("two"), F.col("ends").alias("ends2"), F.col("goes").alias("goes2"))
     one = counts.select(F.col("gram").alias("one"), F.col("ends").alias("ends1"), F.col("goes").alias("goes1"))
     known = known.join(two, "two", "left").join(one, "one", "left")
     all2, all1 = F.col("ends2") + F.col("goes2"), F.col("ends1") + F.col("goes1")
-    goes_on = F.when(all2 >= SEEN, F.col("ends2") < ENDS * all2).when(all1 >= SEEN, F.col("ends1") < ENDS * all1).otherwise(F.col("word"))
+    goes_on = F.when(all2 >= SEEN, F.col("ends2") < ENDS * all2).when(F.col("number"), False).when(all1 >= SEEN, F.col("ends1") < ENDS * all1).otherwise(F.col("word"))
     why = F.coalesce("why", F.when(F.col("broken"), "broken"), F.when(F.col("at_limit"), "limit"), F.when((F.col("ended") == 0) & F.coalesce(goes_on, F.lit(False)), "ending"))
     return known.select("row_id", "field", "source", why.alias("why")).where("why is not null")
 
