@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.bpe import default_path, tokenizer
+from factloom.llm.common import materialize
 
 DIMENSIONS, BITS = 3, 10
 #: Documents along the curve that are packed with one another.
@@ -147,7 +148,9 @@ def pack(docs: DataFrame, specs: DataFrame, path: str | None = None, partitions:
         if len(ids):
             yield from block(ids, sizes)
 
-    on_curve = measured(docs, path).where("doc_id is not null").repartitionByRange(partitions, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
+    # written once: the range sort samples its input first, which would encode every text twice
+    sized = materialize(measured(docs, path).where("doc_id is not null"))
+    on_curve = sized.repartitionByRange(partitions, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
     return on_curve.select("doc_id", "n_tokens").mapInPandas(run, schema)
 
 
