@@ -28,13 +28,14 @@ from factloom.llm import sentences
 from factloom.llm.common import materialize
 
 #: Step of the ladder of prefix lengths, and how many characters after a step are published.
-STEP, SHOWN = 32, 64
+STEP, SHOWN = 32, 48
+#: Characters at a value's end that tell whether it is finished.
+ENDING = 160
 #: A length is a limit of a source's field if at least LIMIT_ROWS cut values and LIMIT_SHARE of them have it.
 LIMIT_ROWS, LIMIT_SHARE, MOST_LIMITS = 3, 0.08, 8
 #: An ending is a cut if it ends a value in less than ENDS of its occurrences, of which there are at least SEEN.
 ENDS, SEEN = 0.12, 5
 
-SPACE = regex.compile(r"\s+")
 ENDED = regex.compile(rf"({sentences.MARK}+)((?:{sentences.CLOSERS}|\s)*{sentences.CITATION}*)\s*$")
 ABBREVIATED = regex.compile(r"(?<![-\p{L}\p{M}\p{N}])(?:" + sentences._words(" ".join(sentences.NEVER_LAST.values())) + r"|(?<![-\p{L}\p{N}])\p{L}|[Ee]\.g|[Ii]\.e|[ap]\.m|U\.S|EE\. UU|z\. B|d\. h|т\. е|p\. ex|p\. ej|c\.-à-d)\.$")
 TOKEN = regex.compile(r"\p{N}+(?:[.,]\p{N}+)*|[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{M}]+(?:[-+’'][\p{L}\p{M}\p{N}]*)*|\S")
@@ -43,7 +44,7 @@ QUOTES = (("“", "”"), ("«", "»"), ("„", "“”"), ("「", "」"))
 
 
 def squeezed(text: str) -> str:
-    return SPACE.sub(" ", text).strip()
+    return " ".join(text.split())
 
 
 def open_quote(text: str) -> bool:
@@ -57,12 +58,13 @@ def open_quote(text: str) -> bool:
 
 def finished(text: str) -> int:
     """2: ends with a sentence. 1: ends with a mark that may be within one (a number's point). 0: neither."""
-    m = ENDED.search(text)
+    tail = text[-ENDING:]
+    m = ENDED.search(tail)
     if m is None or open_quote(text):
         return 0
     if m[2].strip():
         return 2
-    head = text[: m.end(1)]
+    head = tail[: m.end(1)]
     if head.endswith(("…", "..")) or ABBREVIATED.search(head[-24:]):
         return 0
     if regex.search(r"(?<![\p{N}.,])\p{N}+\.$", head):
@@ -87,19 +89,22 @@ def masked(token: str) -> str:
     return token
 
 
-_masks: dict[str, str] = {}
+_masks: dict[str, tuple[str, ...]] = {}
+
+
+def _masked_parts(word: str) -> tuple[str, ...]:
+    parts = tuple(map(masked, TOKEN.findall(word)))
+    if len(word) <= 40:
+        if len(_masks) >= 1 << 18:
+            _masks.clear()
+        _masks[word] = parts
+    return parts
 
 
 def grams(text: str) -> list[str]:
-    out = []
-    for t in TOKEN.findall(text):
-        m = _masks.get(t)
-        if m is None:
-            if len(_masks) > 1 << 18:
-                _masks.clear()
-            m = _masks[t] = masked(t)
-        out.append(m)
-    return out
+    """The masked tokens of a text."""
+    get = _masks.get
+    return [m for w in text.split() for m in get(w) or _masked_parts(w)]
 
 
 def _hash(text: str) -> int:
