@@ -1,15 +1,22 @@
-"""All queries over the test tables, with the SQL that says the same."""
+"""All queries over the test tables by name, and the SQL that says the same."""
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.plans import queries as q
+from factloom.plans import sql
+
+#: Helpers of the queries module that are no queries.
+HELPERS = {"table", "rounded", "held_out", "predictions1", "predictions2", "gold2", "answered1"}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {n: f for n, f in vars(q).items() if inspect.isfunction(f) and f.__module__ == q.__name__ and not n.startswith("_") and n not in HELPERS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
