@@ -166,16 +166,19 @@ def looks_numeric(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(strip(text), "%", ""), r"[,.\-]", "").rlike(r"^\d+$")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once: inside a lambda an expression would be worked out at every use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def number_gaps(cell: Column) -> Column:
     """The pieces around a cell's numbers: n + 1 pieces for n numbers."""
     return F.split(cell, NUMBER, -1)
 
 
-def is_identifier(cell: Column, k: Column) -> Column:
-    """Number k (from 0) of the cell touches a letter, as in `MDH1`: part of a name, not a value."""
-    parts = number_gaps(cell)
-    before, after = F.get(parts, k), F.get(parts, k + 1)
-    return F.right(before, F.lit(1)).rlike("[A-Za-z]") | F.left(after, F.lit(1)).rlike("[A-Za-z]") | ((F.right(before, F.lit(1)) != "") & F.left(F.get(raw_numbers(cell), k), F.lit(1)).eqNullSafe(F.lit("-")) & F.right(before, F.lit(1)).rlike("[A-Za-z]"))
+def touches_letter(parts: Column, k: Column) -> Column:
+    """Number k (from 0) between the pieces touches a letter, as in `MDH1`: part of a name, not a value."""
+    return F.right(F.get(parts, k), F.lit(1)).rlike("[A-Za-z]") | F.left(F.get(parts, k + 1), F.lit(1)).rlike("[A-Za-z]")
 
 
 def splice(cell: Column, k: Column, new: Column) -> Column:
