@@ -90,28 +90,49 @@ def weight(word: str) -> float:
     return 1.0 if not m else max(1.0, sum(map(len, m)) / 2)
 
 
+#: What is known of a word: its key (empty for links and words with digits), its weight, whether it is a link, whether it is a tag.
+Known = tuple[str, float, bool, bool]
+CACHE_ENTRIES = 1 << 18
+_known: dict[str, Known] = {}
+
+
+def known(word: str) -> Known:
+    key = TRIM.sub("", word).casefold()
+    link = word.startswith(LINK) or ("." in word and URL.search(word) is not None)
+    plain = "" if word.startswith(LINK) or any(map(str.isdigit, key)) else key
+    out = (plain, weight(word), link, word[0] == "#" and len(word) > 2 and not word[1:].isdigit())
+    if len(word) <= 40:
+        if len(_known) >= CACHE_ENTRIES:
+            _known.clear()
+        _known[word] = out
+    return out
+
+
 def _bin(value: float, edges: tuple[float, ...]) -> int:
-    return sum(value >= e for e in edges)
+    return sum([value >= e for e in edges])
 
 
-def features(lines: list[list[str]]) -> list[tuple[int, ...]]:
-    bare = [[TRIM.sub("", w).casefold() for w in words] for words in lines]
-    counts = Counter(w for words in bare for w in words if w and not any(map(str.isdigit, w)))
+def features(lines: list[list[str]]) -> tuple[list[tuple[int, ...]], list[float]]:
+    """The feature bins and the weight of every line."""
+    get = _known.get
+    facts = [[get(w) or known(w) for w in words] for words in lines]
+    counts = Counter([k[0] for line in facts for k in line])
+    counts.pop("", None)
     total = sum(counts.values())
     least = max(REPEATED if total >= SHORT else 2, REPEATED_SHARE * total)
     often = {w for w, n in counts.items() if n >= least}
-    out = []
-    for words, keys in zip(lines, bare, strict=True):
+    out, weights = [], []
+    for words, line in zip(lines, facts, strict=True):
         n = len(words)
         raw = " ".join(words)
-        link = sum(w.startswith(LINK) or URL.search(w) is not None for w in words)
+        link = sum([k[2] for k in line])
         if link and CITED.search(raw):
             link = 0
-        tags = sum(w[0] == "#" and len(w) > 2 and not w[1:].isdigit() for w in words)
-        texts = [k for w, k in zip(words, keys, strict=True) if k and not w.startswith(LINK) and not any(map(str.isdigit, k))]
-        again = sum(k in often for k in texts) / len(texts) if len(texts) > 1 else 0.0
-        out.append((_bin(link / n, BINS["links"]), _bin(tags / n, BINS["hash"]), _bin(again, BINS["repeated"]), _bin(len(SEPARATOR.findall(raw)) / n, BINS["items"]), int(ENDED.search(raw) is not None)))
-    return out
+        texts = [k[0] for k in line if k[0]]
+        again = sum([k in often for k in texts]) / len(texts) if len(texts) > 1 else 0.0
+        out.append((_bin(link / n, BINS["links"]), _bin(sum([k[3] for k in line]) / n, BINS["hash"]), _bin(again, BINS["repeated"]), _bin(len(SEPARATOR.findall(raw)) / n, BINS["items"]), int(ENDED.search(raw[-8:]) is not None)))
+        weights.append(sum([k[1] for k in line]))
+    return out, weights
 
 
 _LOG = [{f: [math.log(p) for p in EMIT[f][s]] for f in EMIT} for s in range(len(LABELS))]
@@ -146,8 +167,9 @@ def shares(text: str) -> tuple[list[float], int]:
     """Share of the page's words under each label, and the number of its lines."""
     lines = lines_of(text)
     got = [0.0] * len(LABELS)
-    for words, label in zip(lines, labels(features(lines)), strict=True):
-        got[label] += sum(map(weight, words))
+    observed, weights = features(lines)
+    for w, label in zip(weights, labels(observed), strict=True):
+        got[label] += w
     total = sum(got)
     return [x / total for x in got] if total else got, len(lines)
 
