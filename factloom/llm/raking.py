@@ -57,13 +57,14 @@ def rake(cells: np.ndarray, available: np.ndarray, targets: Targets, size: float
     cells: (n, attributes) category numbers. A cell with a category that no target names gets rate 0, unless no
     attribute names any of its categories' shares.
     """
+    available = available.astype(float)
     ok = (cells >= 0).all(1)
     want = np.where(ok, available * min(1.0, size / max(1, available[ok].sum())), 0.0)
     for _ in range(ROUNDS):
         before = want.copy()
         for a, name in enumerate(targets.attributes):
             share = targets.share[name]
-            have = np.bincount(cells[ok, a], want[ok], len(share))
+            have = np.bincount(cells[ok, a], want[ok], len(share)).astype(float)
             factor = np.divide(share * size, have, out=np.zeros_like(have), where=have > 0)
             want[ok] *= factor[cells[ok, a]]
             # cells without enough rows stay full; the category's other cells make up for them
@@ -72,9 +73,9 @@ def rake(cells: np.ndarray, available: np.ndarray, targets: Targets, size: float
                 if not over.any():
                     break
                 want[over] = available[over]
-                have = np.bincount(cells[ok, a], want[ok], len(share))
+                have = np.bincount(cells[ok, a], want[ok], len(share)).astype(float)
                 free = ok & (want < available)
-                room = np.bincount(cells[free, a], want[free], len(share))
+                room = np.bincount(cells[free, a], want[free], len(share)).astype(float)
                 lack = np.maximum(0, share * size - have)
                 grow = 1 + np.divide(lack, room, out=np.zeros_like(room), where=room > 0)
                 if (grow < 1 + 1e-9).all():

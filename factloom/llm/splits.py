@@ -71,7 +71,9 @@ def components(edges: DataFrame) -> DataFrame:
         raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds")
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return stars.union(roots).union(alone.select("node", F.col("node").alias("component"))).distinct()
+    linked = stars.union(roots).distinct()
+    lonely = alone.distinct().join(linked.select("node"), "node", "left_anti")
+    return linked.union(lonely.select("node", F.col("node").alias("component")))
 
 
 def paper_components(records: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@
 2. Limits. Lengths (in characters or bytes) at which such prefixes pile up within a source are its field
    limits; unfinished values of just that length are cut too, with or without a copy.
 3. Endings. How often each pair of last words ends a value against how often it goes on, counted over all
-   values: an ending that nearly always goes on elsewhere is a cut. Marks of a broken character or an
+   values: an ending that nearly always goes on elsewhere is a cut, and so is a last word that stands nowhere else. Marks of a broken character or an
    ellipsis at the end are cuts as well.
 
 A value that ends with a sentence, or just before its final mark, is whole: see `finished` and `between`.
@@ -14,6 +14,7 @@ A value that ends with a sentence, or just before its final mark, is whole: see
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -165,7 +166,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(last):
                 ends[tuple(tokens[max(0, n - k - 2) : n - k])] += 1
                 ends[(tokens[n - k - 1],)] += 1
-            goes.update(zip(tokens[: n - last - 1], tokens[1 : n - last], strict=True))
+            goes.update(itertools.pairwise(tokens[: n - last]))
             goes.update([(x,) for x in tokens[: n - last]])
     keys = list({*ends, *goes})
     yield pa.RecordBatch.from_arrays([pa.array([_hash("\x1f".join(k)) for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([goes[k] for k in keys], pa.int64())], names=["gram", "ends", "goes"])
@@ -210,7 +211,7 @@ def detect(records: DataFrame, fields: tuple[str, ...] = ("caption", "context"),
     one = counts.select(F.col("gram").alias("one"), F.col("ends").alias("ends1"), F.col("goes").alias("goes1"))
     known = known.join(two, "two", "left").join(one, "one", "left")
     all2, all1 = F.col("ends2") + F.col("goes2"), F.col("ends1") + F.col("goes1")
-    goes_on = F.when(all2 >= SEEN, F.col("ends2") < ENDS * all2).when(F.col("number"), False).when(all1 >= SEEN, F.col("ends1") < ENDS * all1).otherwise(F.col("word"))
+    goes_on = F.when(all2 >= SEEN, F.col("ends2") < ENDS * all2).when(F.col("number"), False).when(all1 >= SEEN, F.col("ends1") < ENDS * all1).otherwise(F.col("word") & (F.coalesce("goes1", F.lit(0)) == 0))
     why = F.coalesce("why", F.when(F.col("broken"), "broken"), F.when(F.col("at_limit"), "limit"), F.when((F.col("ended") == 0) & F.coalesce(goes_on, F.lit(False)), "ending"))
     return known.select("row_id", "field", "source", why.alias("why")).where("why is not null")
 
