@@ -126,7 +126,7 @@ def swap_figures(images: DataFrame) -> DataFrame:
             data = []
             for h, w, c, raw, op, a, b in zip(*(f[k] for k in ("height", "width", "channels", "data", "operation", "box_a", "box_b")), strict=True):
                 pixels = np.frombuffer(raw, np.uint8).reshape(h, w, c)
-                data.append(exchange(pixels, tuple(a[k] for k in order), tuple(b[k] for k in order)).tobytes() if op is not None else None)
+                data.append(exchange(pixels, tuple(int(a[k]) for k in order), tuple(int(b[k]) for k in order)).tobytes() if op is not None else None)
             yield f.assign(data=data)[["image_id", "operation", "box_a", "box_b", "data"]]
 
     kind = "struct<x0:int,y0:int,x1:int,y1:int>"

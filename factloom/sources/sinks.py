@@ -21,7 +21,7 @@ def json_array_file(df: DataFrame, path: str) -> int:
         out.write("[")
         for row in df.toLocalIterator():
             out.write(",\n" if n else "\n")
-            out.write("\n".join("  " + line for line in json.dumps(row.asDict(recursive=True), indent=2, ensure_ascii=False, default=str).splitlines()))
+            out.write("\n".join("  " + line for line in json.dumps(row.asDict(recursive=True), indent=2, ensure_ascii=False, default=str).split("\n")))
             n += 1
         out.write("\n]\n" if n else "]\n")
     os.replace(part, path)
