@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     set_by = spark.conf.get("spark.checkpoint.dir", None)
     if set_by:
         return set_by
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = os.path.join(tempfile.gettempdir(), "factloom-checkpoints")
     spark.conf.set("spark.checkpoint.dir", path)
