@@ -32,13 +32,14 @@ from factloom.llm.common import materialize
 STEP, SHOWN = 32, 48
 #: Characters at a value's end that tell whether it is finished.
 ENDING = 160
-#: A length is a limit of a source's field if at least LIMIT_ROWS cut values and LIMIT_SHARE of them have it.
+#: A length is a limit of a source's field if at least LIMIT_ROWS different cut values and LIMIT_SHARE of them have it.
 LIMIT_ROWS, LIMIT_SHARE, MOST_LIMITS = 3, 0.08, 8
 #: An ending is a cut if it ends a value in less than ENDS of its occurrences, of which there are at least SEEN.
 ENDS, SEEN = 0.12, 5
 
 ENDED = regex.compile(rf"({sentences.MARK}+)((?:{sentences.CLOSERS}|\s)*{sentences.CITATION}*)\s*$")
 ABBREVIATED = regex.compile(r"(?<![-\p{L}\p{M}\p{N}])(?:" + sentences._words(" ".join(sentences.NEVER_LAST.values())) + r"|(?<![-\p{L}\p{N}])\p{L}|[Ee]\.g|[Ii]\.e|[ap]\.m|U\.S|EE\. UU|z\. B|d\. h|т\. е|p\. ex|p\. ej|c\.-à-d)\.$")
+CLOSING = regex.compile(r"(?:\s|(?<=[\p{P}\s])\}|\}$|</\w+>|\\label\{[^{}]*\})+$")
 TOKEN = regex.compile(r"\p{N}+(?:[.,]\p{N}+)*|[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{M}]+(?:[-+’'][\p{L}\p{M}\p{N}]*)*|\S")
 FINAL_MARKS = frozenset(".!?。！？।؟")
 QUOTES = (("“", "”"), ("«", "»"), ("„", "“”"), ("「", "」"))
@@ -58,8 +59,8 @@ def open_quote(text: str) -> bool:
 
 
 def finished(text: str) -> int:
-    """2: ends with a sentence. 1: ends with a mark that may be within one (a number's point). 0: neither."""
-    tail = text[-ENDING:]
+    """2: ends with a sentence. 1: ends with a mark that may be within one (a number's point). 0: neither. Closing markup doesn't count."""
+    tail = CLOSING.sub("", text[-ENDING:])
     m = ENDED.search(tail)
     if m is None or open_quote(text):
         return 0
@@ -127,7 +128,8 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             broken = text.endswith(("�", "…")) or text.endswith("...")
             step = len(text) // STEP * STEP
-            tokens = grams(text[-200:])
+            shown = CLOSING.sub("", text[-200:])
+            tokens = grams(shown.lower() if shown.isupper() else shown)
             last = tokens[-1] if tokens else ""
             two = "\x1f".join(tokens[-2:])
             rows.append((row_id, source, field, len(raw), len(raw.encode("utf-8", "surrogatepass")), broken, ended, step, _hash(field + text[:step]), text[step:], text[-120:], len(text), _hash(two), _hash(last), last[:1].isalpha() and last != "N", last[:1].isdigit()))
@@ -158,7 +160,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     goes: Counter = Counter()
     for batch in batches:
         for raw in batch.column(0).to_pylist():
-            tokens = grams(raw)
+            tokens = grams(CLOSING.sub("", raw[-200:]) if len(raw) <= 200 else raw[:-200] + CLOSING.sub("", raw[-200:]))
             n = len(tokens)
             if not n:
                 continue
@@ -197,7 +199,7 @@ def detect(records: DataFrame, fields: tuple[str, ...] = ("caption", "context"),
     prefixed = materialize(seen.mapInPandas(_judge, "row_id bigint, field string").distinct().withColumn("why", F.lit("prefix")))
     known = values.join(prefixed, ["row_id", "field"], "left")
     # limits: lengths at which prefixes pile up
-    sizes = known.where("why is not null").select("source", "field", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("x")).select("source", "field", "x.unit", "x.size")
+    sizes = known.where("why is not null").select("source", "field", "prefix", "rest", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("x")).select("source", "field", "prefix", "rest", "x.unit", "x.size").distinct()
     piled = sizes.groupBy("source", "field", "unit", "size").agg(F.count("*").alias("n"))
     whole = Window.partitionBy("source", "field", "unit")
     limits = piled.withColumn("all", F.sum("n").over(whole)).withColumn("rank", F.row_number().over(whole.orderBy(F.desc("n"), "size")))
