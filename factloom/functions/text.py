@@ -197,6 +197,11 @@ def format_decimals(v: Column, decimals: Column) -> Column:
     return out.otherwise(F.format_string("%.6f", v))
 
 
+def percent(share: Column, decimals: int = 2) -> Column:
+    """A share as a percentage with so many decimals, N/A for null: for reports only."""
+    return F.coalesce(F.format_string(f"%.{decimals}f", share * 100), F.lit("N/A"))
+
+
 def paper_of(paper_id: Column, paper_path: Column) -> Column:
     """The paper's id, or the one its path ends with."""
     return F.coalesce(paper_id, filled(F.regexp_extract(paper_path, r"peerj_(\d+)\.json$", 1)))

@@ -51,6 +51,11 @@ def to_grey(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return np.round(pixels[:, :, 0] * 0.114 + pixels[:, :, 1] * 0.587 + pixels[:, :, 2] * 0.299)
 
 
+def swap_channels(data: bytes, channels: int) -> bytes:
+    """RGB pixels as BGR ones, or back."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, channels)[:, ::-1]).tobytes()
+
+
 def with_panels(images: DataFrame) -> DataFrame:
     """(image_id, panels) of images (image_id, height, width, channels, data); the pixels go no further."""
 

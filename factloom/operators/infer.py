@@ -87,6 +87,12 @@ def decide_pair(one: Column, two: Column, joint: Column) -> Column:
     return F.struct(label.alias("label"), F.when(a != b, "decisive").otherwise("fallback").alias("mode"))
 
 
+def mode_counts(decided: DataFrame) -> DataFrame:
+    """How many decisions were made in each mode, and how many of them are right where a gold label stands beside."""
+    right = F.count_if(F.col("label") == F.col("gold_label")) if "gold_label" in decided.columns else F.lit(None).cast("bigint")
+    return decided.groupBy("mode").agg(F.count("*").alias("n"), right.alias("right"))
+
+
 def needs_joint(one: Column, two: Column) -> Column:
     """Whether the joint call has to be made at all: only the ties are sent to the model again."""
     a, b = one.eqNullSafe(F.lit("Supported")), two.eqNullSafe(F.lit("Supported"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,20 @@ def panel_stats(figures: DataFrame) -> DataFrame:
     return counted.join(F.broadcast(total)).select("kind", "n", (F.col("n") / F.col("total")).alias("share"))  # at most three rows with one
 
 
+def chart_types(figures: DataFrame) -> DataFrame:
+    """Figures of each type and number of panels; a null type is unknown."""
+    return figures.groupBy(F.coalesce("type", F.lit("unknown")).alias("type"), "num_panels").agg(F.count("*").alias("n"))
+
+
+def stage_counts(rows: DataFrame, stages: dict[str, Column]) -> DataFrame:
+    """(stage, n): how many rows pass each stage and all stages before it, in one pass."""
+    passed, counts = F.lit(True), []
+    for name, condition in stages.items():
+        passed = passed & F.coalesce(condition, F.lit(False))
+        counts.append(F.count_if(passed).alias(name))
+    return rows.agg(F.count("*").alias("scanned"), *counts).unpivot([], ["scanned", *stages], "stage", "n")
+
+
 def union_counts(sources: dict[str, DataFrame], key: str) -> DataFrame:
     """Distinct keys of each source and of all together (source null); empty keys don't count."""
     named = [df.select(F.lit(name).alias("source"), F.col(key).cast(T.StringType()).alias("key")) for name, df in sources.items()]

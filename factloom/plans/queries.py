@@ -135,6 +135,16 @@ def panel_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(profile.panel_stats(readings.select((F.size(F.split("text", r" \| ")) - 3).alias("num_panels"), "text").withColumn("num_panels", F.when(F.coalesce("text", F.lit("")) != "", F.col("num_panels")))))
 
 
+def chart_types(spark: SparkSession, d: str) -> DataFrame:
+    parts = F.when(F.coalesce("text", F.lit("")) != "", F.size(F.split("text", r" \| ")).cast("bigint"))
+    return profile.chart_types(table(spark, d, "advisor_cache").select(F.col("evi_type").alias("type"), parts.alias("num_panels")))
+
+
+def stage_counts(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("claim")
+    return profile.stage_counts(table(spark, d, "task1_gold").select("claim"), {"mentions": c.rlike(tx.MENTION["table"]), "own": tx.is_own_mention(c), "worthy": tx.is_claim_worthy(c)})
+
+
 def id_union_counts(spark: SparkSession, d: str) -> DataFrame:
     return profile.union_counts({"gold": table(spark, d, "task1_gold"), "predictions": table(spark, d, "task1_pred")}, "claim_id")
 
@@ -247,6 +257,11 @@ def discover_images(spark: SparkSession, d: str) -> DataFrame:
     return merge.first_wins(one.union(two).where("path is not null"), "path", "source").select("path", "source", tx.evidence_type(F.col("path")).alias("evi_type"))
 
 
+def with_readings_only(spark: SparkSession, d: str) -> DataFrame:
+    listing = table(spark, d, "advisor_cache").where("text <> ''").select(F.concat(F.lit("./"), F.col("image_path")).alias("path"))
+    return readers.with_files(table(spark, d, "task1_gold").select("row_id", "evi_path"), "evi_path", listing)
+
+
 def figure_paths(spark: SparkSession, d: str) -> DataFrame:
     return readers.evidence_paths(table(spark, d, "task1_gold"), table(spark, d, "task2_gold"), figures_only=True)
 
@@ -448,6 +463,15 @@ def decide_pair(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("claim_id", decided.alias("x"), infer.needs_joint(F.col("one"), F.col("two")).alias("joint_call")).select("claim_id", "x.label", "x.mode", "joint_call")
 
 
+def decision_modes(spark: SparkSession, d: str) -> DataFrame:
+    return infer.mode_counts(decide_pair(spark, d).select("label", "mode", F.lit("evidence_id_1").alias("gold_label")))
+
+
+def formatted_scores(spark: SparkSession, d: str) -> DataFrame:
+    scores = scoring.evidence_accuracy(scoring.answered(gold2(spark, d), predictions2(spark, d), "sample_id"), ["run_name"])
+    return scores.select("run_name", tx.percent(F.floor(F.col("accuracy") * 1000) / 1000, 1).alias("accuracy"))
+
+
 def figure_classes(spark: SparkSession, d: str) -> DataFrame:
     reply = F.when(F.col("event_id") % 5 == 0, "no json here").otherwise(F.concat(F.lit("Here: {\"num_panels\": "), F.get_json_object("props", "$.k"), F.lit(", \"type\": \""), F.col("event_type"), F.lit("\", \"confidence\": 0.5} done")))
     return table(spark, d, "events").select("event_id", infer.figure_class(reply).alias("x")).select("event_id", "x.*")

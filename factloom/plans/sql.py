@@ -109,6 +109,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM a JOIN b USING (claim_id)) AS n_both, (SELECT count(*) FROM a ANTI JOIN b USING (claim_id)) AS only_a, (SELECT count(*) FROM b ANTI JOIN a USING (claim_id)) AS only_b""",
         "panel_stats": """WITH f AS (SELECT CASE WHEN coalesce(text, '') <> '' THEN len(string_split(text, ' | ')) - 3 END AS p FROM advisor_cache WHERE evi_type = 'figure'), k AS (SELECT CASE WHEN p IS NULL THEN 'unparsed' WHEN p > 1 THEN 'composite' ELSE 'single' END AS kind, count(*) AS n FROM f GROUP BY 1)
           SELECT kind, n, round(n * 1.0 / (SELECT sum(n) FROM k), 6) AS share FROM k""",
+        "chart_types": "SELECT coalesce(evi_type, 'unknown') AS type, CASE WHEN coalesce(text, '') <> '' THEN len(string_split(text, ' | ')) END AS num_panels, count(*) AS n FROM advisor_cache GROUP BY 1, 2",
+        "stage_counts": rf"""WITH s AS (SELECT coalesce(regexp_matches(claim, '(?i)\bTables?\s+\d+\b'), false) AS m, coalesce({OWN_T.format('claim')}, false) AS o, coalesce({WORTHY.format('claim')}, false) AS w FROM task1_gold)
+          SELECT 'scanned' AS stage, count(*) AS n FROM s UNION ALL SELECT 'mentions', count(*) FILTER (m) FROM s UNION ALL SELECT 'own', count(*) FILTER (m AND o) FROM s UNION ALL SELECT 'worthy', count(*) FILTER (m AND o AND w) FROM s""",
         "id_union_counts": """WITH s AS (SELECT DISTINCT 'gold' AS source, claim_id FROM task1_gold WHERE claim_id <> '' UNION ALL SELECT DISTINCT 'predictions', claim_id FROM task1_pred WHERE claim_id <> '')
           SELECT source, count(DISTINCT claim_id) AS n FROM s GROUP BY ROLLUP (source)""",
         "footprint_rollup": """WITH r AS (SELECT evi_path, CASE WHEN evi_path LIKE 'figures/%' THEN 'figure' ELSE 'table' END AS evi_type, max(length(claim) / 100.0::DOUBLE) AS v FROM task1_gold GROUP BY 1, 2), s AS (SELECT evi_type, v FROM r WHERE v IS NOT NULL UNION ALL SELECT NULL, v FROM r WHERE v IS NOT NULL)
@@ -136,6 +139,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT row_id, claim_id FROM s WHERE k % 3 = 0 AND NOT EXISTS (SELECT 1 FROM task1_pred p WHERE p.claim_id = s.claim_id AND run_name = 'solo_reader')""",
         "ids_file": "SELECT row_id, claim_id FROM task1_gold WHERE claim_id IN (SELECT claim_id FROM task1_pred WHERE pred_label IS NULL)",
         "discover_images": """SELECT path, min(source) AS source, CASE WHEN path LIKE 'tables_png/%' THEN 'table' ELSE 'figure' END AS evi_type FROM (SELECT evi_path AS path, 1 AS source FROM task1_gold UNION ALL SELECT evidence_id_1, 2 FROM task2_gold UNION ALL SELECT evidence_id_2, 2 FROM task2_gold) WHERE path IS NOT NULL GROUP BY path""",
+        "with_readings_only": "SELECT row_id, evi_path FROM task1_gold WHERE evi_path IN (SELECT image_path FROM advisor_cache WHERE text <> '')",
         "figure_paths": "SELECT DISTINCT path FROM (SELECT evi_path AS path FROM task1_gold UNION ALL SELECT evidence_id_1 FROM task2_gold UNION ALL SELECT evidence_id_2 FROM task2_gold) WHERE path LIKE 'figures/%'",
         "split_sentences": r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\s\x0B]+([A-Z0-9])', concat('\1', chr(1), '\2'), 'g'), chr(1)), lambda s: regexp_replace(s, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')), lambda s: s <> '') AS l FROM documents WHERE text IS NOT NULL)
           SELECT doc_id, CAST(unnest(generate_series(1, len(l))) - 1 AS BIGINT) AS pos, unnest(l) AS sentence FROM p""",
@@ -176,6 +180,9 @@ def oracle_sql() -> dict[str, str]:
         "table_layout": f"WITH {TABLES} SELECT l_orderkey, least(max(length(c0)), 40) || ',' || least(max(length(c1)), 40) || ',' || least(max(length(c2)), 40) AS widths FROM tb GROUP BY l_orderkey",
         "decide_pair": f"""WITH {P1}, r AS (SELECT x.claim_id, x.pred_label IS NOT DISTINCT FROM 'Supported' AS a, y.pred_label IS NOT DISTINCT FROM 'Supported' AS b FROM p1 x JOIN p1 y ON x.claim_id = y.claim_id AND x.run_name = 'solo_reader' AND y.run_name = 'two_step_reader')
           SELECT claim_id, CASE WHEN a AND NOT b THEN 'evidence_id_1' WHEN b AND NOT a THEN 'evidence_id_2' ELSE 'evidence_id_1' END AS label, CASE WHEN a <> b THEN 'decisive' ELSE 'fallback' END AS mode, a = b AS joint_call FROM r""",
+        "decision_modes": f"""WITH {P1}, r AS (SELECT x.pred_label IS NOT DISTINCT FROM 'Supported' AS a, y.pred_label IS NOT DISTINCT FROM 'Supported' AS b FROM p1 x JOIN p1 y ON x.claim_id = y.claim_id AND x.run_name = 'solo_reader' AND y.run_name = 'two_step_reader')
+          SELECT CASE WHEN a <> b THEN 'decisive' ELSE 'fallback' END AS mode, count(*) AS n, count(*) FILTER (NOT (b AND NOT a)) AS right FROM r GROUP BY 1""",
+        "formatted_scores": f"WITH {A2} SELECT run_name, printf('%.1f', floor(count(*) FILTER (label = pred_label) * 1.0 / count(*) * 1000) / 1000 * 100) AS accuracy FROM a2 GROUP BY run_name",
         "figure_classes": "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(json_extract(props, '$.k') AS INT) END AS num_panels, CASE WHEN event_id % 5 <> 0 THEN event_type ELSE 'parse_error' END AS type, CASE WHEN event_id % 5 <> 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM events",
         "echo_inference": r"SELECT row_id, regexp_replace(regexp_replace(claim, '\s+', ' ', 'g'), '\s+$', '') AS answer, CAST(NULL AS VARCHAR) AS error FROM task1_gold WHERE claim IS NOT NULL",
         "path_parts": r"SELECT row_id, regexp_replace(regexp_replace(evi_path, '^.*/', ''), '\.[^.]*$', '') AS stem, '.' || regexp_extract(evi_path, '\.([^.]*)$', 1) AS extension, evi_path AS path FROM task1_gold WHERE evi_path IS NOT NULL",

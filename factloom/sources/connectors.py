@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 #: name -> function(list of ids) -> list of (id, document as a dict); ids that are not found are left out.
 FETCHERS: dict[str, Callable[[list[str]], list[tuple[str, dict]]]] = {}
@@ -57,12 +57,26 @@ class _SearchReader(DataSourceReader):
         self.licences = {x.strip() for x in options.get("licences", "").split(",") if x.strip()}
         self.phrase = options.get("phrase", "").lower()
         self.n = int(options.get("n", "100"))
+        self.nothing = False
+
+    def pushFilters(self, filters):
+        """Equality and membership on the licence are the service's work; everything else stays with the engine."""
+        for f in filters:
+            column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            if column == ("licence",) and isinstance(f, (EqualTo, In)):
+                asked = set(value) if isinstance(f, In) else {value}
+                self.licences = self.licences & asked if self.licences else asked
+                self.nothing = not self.licences
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(0)]  # a search answers with one ranked list
 
     def read(self, partition) -> Iterator[tuple]:
         rank = 0
+        if self.nothing:
+            return
         with open(self.path, encoding="utf-8") as lines:
             for line in lines:
                 if rank >= self.n or not line.strip():

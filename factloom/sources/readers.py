@@ -75,6 +75,12 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
+def with_files(rows: DataFrame, column: str, listing: DataFrame) -> DataFrame:
+    """Rows whose path, compared without `.` steps and doubled slashes, is in a listing of paths (column `path`)."""
+    there = listing.select(tx.canonical_path(F.col("path")).alias("_path")).distinct()
+    return rows.withColumn("_path", tx.canonical_path(F.col(column))).join(there, "_path", "left_semi").drop("_path")
+
+
 def evidence_paths(task1: DataFrame, task2: DataFrame, figures_only: bool = False) -> DataFrame:
     """Distinct evidence paths of both tasks (task 2 names two a row), in order."""
     one = task1.select(F.col("evi_path").alias("path"))

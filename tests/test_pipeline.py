@@ -122,6 +122,19 @@ def test_connectors(spark, tmp_path):
     spark.dataSource.register(connectors.SearchSource)
     hits = spark.read.format("claim_search").option("path", str(tmp_path / "d.jsonl")).option("licences", "cc").option("phrase", "Forest").option("n", "3").load()
     assert [r.pmcid for r in hits.orderBy("rank").collect()] == ["0", "1", "2"]
+    assert hits.where("licence = 'by'").count() == 0 and hits.where("licence = 'cc' and pmcid = '1'").count() == 1
+
+
+def test_files_that_exist(spark):
+    rows = spark.createDataFrame([("1", "a/b.png"), ("2", "./a//c.png"), ("3", None)], "id string, path string")
+    listing = spark.createDataFrame([("./a/b.png",), ("a/c.png",), ("x",)], "path string")
+    assert sorted(r.id for r in readers.with_files(rows, "path", listing).collect()) == ["1", "2"]
+
+
+def test_stage_counts(spark):
+    rows = spark.createDataFrame([(1,), (5,), (9,), (None,)], "v int")
+    got = {r.stage: r.n for r in profile.stage_counts(rows, {"big": F.col("v") > 2, "odd": F.col("v") > 7}).collect()}
+    assert got == {"scanned": 4, "big": 2, "odd": 1}
 
 
 def test_decisions(spark):
