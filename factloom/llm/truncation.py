@@ -14,10 +14,10 @@ A value that ends with a sentence, or just before its final mark, is whole: see
 
 from __future__ import annotations
 
-import itertools
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -36,9 +36,13 @@ ENDING = 160
 LIMIT_ROWS, LIMIT_SHARE, MOST_LIMITS = 3, 0.08, 8
 #: An ending is a cut if it ends a value in less than ENDS of its occurrences, of which there are at least SEEN.
 ENDS, SEEN = 0.12, 5
+#: Counts that a worker keeps before it gives them out.
+COUNTERS = 1 << 19
 
 ENDED = regex.compile(rf"({sentences.MARK}+)((?:{sentences.CLOSERS}|\s)*{sentences.CITATION}*)\s*$")
-ABBREVIATED = regex.compile(r"(?<![-\p{L}\p{M}\p{N}])(?:" + sentences._words(" ".join(sentences.NEVER_LAST.values())) + r"|(?<![-\p{L}\p{N}])\p{L}|[Ee]\.g|[Ii]\.e|[ap]\.m|U\.S|EE\. UU|z\. B|d\. h|т\. е|p\. ex|p\. ej|c\.-à-d)\.$")
+ABBREVIATIONS = frozenset(" ".join(sentences.NEVER_LAST.values()).split()) | {"a.m", "p.m", "E.g", "I.e"}
+#: Second parts of spaced abbreviations, with what stands before them.
+SPACED = {"ex": "p.", "ej": "p.", "UU": "EE."}
 CLOSING = regex.compile(r"(?:\s|(?<=[\p{P}\s])\}|\}$|</\w+>|\\label\{[^{}]*\})+$")
 TOKEN = regex.compile(r"\p{N}+(?:[.,]\p{N}+)*|[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{M}]+(?:[-+’'][\p{L}\p{M}\p{N}]*)*|\S")
 FINAL_MARKS = frozenset(".!?。！？।؟")
@@ -58,19 +62,38 @@ def open_quote(text: str) -> bool:
     return False
 
 
+def without_closing(text: str) -> str:
+    """Without closing markup at the end."""
+    return text[:-ENDING] + CLOSING.sub("", text[-ENDING:]) if text[-1:] in ("}", ">") or text[-1:].isspace() else text
+
+
+def abbreviated(head: str) -> bool:
+    """Whether the point at the end of head belongs to an abbreviation or an initial."""
+    before, _, word = head[-40:-1].rpartition(" ")
+    word = word.lstrip("([{\"'“«„‘—–’")
+    return word in ABBREVIATIONS or len(word) == 1 and word.isalpha() or word in SPACED and before.endswith(SPACED[word]) or word.rpartition("’")[2] in ABBREVIATIONS
+
+
 def finished(text: str) -> int:
     """2: ends with a sentence. 1: ends with a mark that may be within one (a number's point). 0: neither. Closing markup doesn't count."""
-    tail = CLOSING.sub("", text[-ENDING:])
-    m = ENDED.search(tail)
-    if m is None or open_quote(text):
+    head = without_closing(text[-ENDING:])
+    if head[-1:] not in FINAL_MARKS:
+        m = ENDED.search(head)
+        if m is None or open_quote(text):
+            return 0
+        if m[2].strip():
+            return 2
+        head = head[: m.end(1)]
+    elif open_quote(text):
         return 0
-    if m[2].strip():
-        return 2
-    head = tail[: m.end(1)]
-    if head.endswith(("…", "..")) or ABBREVIATED.search(head[-24:]):
+    if head.endswith(("…", "..")):
         return 0
-    if regex.search(r"(?<![\p{N}.,])\p{N}+\.$", head):
-        return 1
+    if head[-1] == ".":
+        if abbreviated(head):
+            return 0
+        number = head[:-1].rpartition(" ")[2]
+        if number.isdigit():
+            return 1
     return 2
 
 
@@ -128,7 +151,7 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             broken = text.endswith(("�", "…")) or text.endswith("...")
             step = len(text) // STEP * STEP
-            shown = CLOSING.sub("", text[-200:])
+            shown = without_closing(text[-200:])
             tokens = grams(shown.lower() if shown.isupper() else shown)
             last = tokens[-1] if tokens else ""
             two = "\x1f".join(tokens[-2:])
@@ -149,29 +172,42 @@ def _ladder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prefixes.append(state.intdigest())
                 shown.append(text[step : step + SHOWN])
                 state.update(text[step : step + STEP].encode("utf-8", "surrogatepass"))
-        import numpy as np
-
         yield pa.RecordBatch.from_arrays([pa.array(np.array(prefixes, np.uint64).view(np.int64)), pa.array(shown, pa.string())], names=["prefix", "shown"])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often every pair of neighbouring words, and every word, ends a value (a final mark may follow) or goes on; summed up within the partition."""
+    """How often every pair of neighbouring words, and every word, ends a value (a final mark may follow) or goes on.
+
+    Summed up within the partition; the sums are given out whenever there are COUNTERS of them, so memory stays bounded.
+    """
     ends: Counter = Counter()
     goes: Counter = Counter()
+
+    def given_out() -> pa.RecordBatch:
+        keys = list({*ends, *goes})
+        hashes = [_hash(k if isinstance(k, str) else "\x1f".join(k)) for k in keys]
+        out = [pa.array(hashes, pa.int64()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([goes[k] for k in keys], pa.int64())]
+        ends.clear()
+        goes.clear()
+        return pa.RecordBatch.from_arrays(out, names=["gram", "ends", "goes"])
+
     for batch in batches:
         for raw in batch.column(0).to_pylist():
-            tokens = grams(CLOSING.sub("", raw[-200:]) if len(raw) <= 200 else raw[:-200] + CLOSING.sub("", raw[-200:]))
+            tokens = grams(without_closing(raw))
             n = len(tokens)
             if not n:
                 continue
             last = 2 if n > 1 and tokens[-1] in FINAL_MARKS else 1
             for k in range(last):
-                ends[tuple(tokens[max(0, n - k - 2) : n - k])] += 1
-                ends[(tokens[n - k - 1],)] += 1
-            goes.update(itertools.pairwise(tokens[: n - last]))
-            goes.update([(x,) for x in tokens[: n - last]])
-    keys = list({*ends, *goes})
-    yield pa.RecordBatch.from_arrays([pa.array([_hash("\x1f".join(k)) for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([goes[k] for k in keys], pa.int64())], names=["gram", "ends", "goes"])
+                ends[tokens[n - k - 1]] += 1
+                if n - k > 1:
+                    ends[tokens[n - k - 2], tokens[n - k - 1]] += 1
+            inner = tokens[: n - last]
+            goes.update(inner)
+            goes.update(zip(inner, inner[1:], strict=False))
+        if len(goes) + len(ends) > COUNTERS:
+            yield given_out()
+    yield given_out()
 
 
 def _judge(frames):
