@@ -32,7 +32,7 @@ NEED = {"w": 30, "c": 60}
 GRAM = {"w": 10, "c": 24}
 WINDOW = {"w": 6, "c": 16}
 #: A text is a letter stream if at least this share of its letters is Han, Kana or Thai.
-UNSPACED_SHARE = 0.25
+UNSPACED_SHARE = 0.1
 UNSPACED = re.compile(r"[぀-ヿ㐀-鿿豈-﫿฀-๿]")
 TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 COMMAND = re.compile(r"\\[A-Za-z]+\*?")

@@ -142,7 +142,7 @@ def language(text: str, said: str | None) -> str:
     """By script where the script tells, else as said, else English. said may be null, in capitals, or wrong."""
     letters = sum(map(str.isalpha, text))
     for kind, p in SCRIPT:
-        if len(p.findall(text)) > 0.15 * letters:
+        if len(p.findall(text)) > 0.1 * letters:
             return kind
     said = (said or "").strip().lower()[:2]
     return said if said in LATIN else "en"
