@@ -1,19 +1,20 @@
 """A sample whose category shares follow given targets in several attributes at once.
 
-Iterative proportional fitting ("raking") finds the inclusion rate of every cell, a cell being one
-combination of categories. Rates are held at 1 where a cell has too few rows, and the fitting goes on
-with what is left. A row's key is an exponential variate divided by its cell's weight -ln(1 - rate);
-rows with a key below 1 are drawn, so each is drawn with just the rate of its cell, and the draw is one
-narrow pass: no global sort, no threshold to agree on. Categories then below their minimum are filled up
-with their next rows by key, and what the targets still miss is reported.
+Iterative proportional fitting ("raking") finds how many rows of every cell are wanted, a cell being one
+combination of categories. Where a cell has too few rows all of them are taken, and the fitting goes on with
+what is left. Whole numbers come from largest remainders; categories below their minimum are filled up; what
+the targets still miss is reported.
+
+A row's key is an exponential variate divided by its cell's weight, and a cell gives its rows with the least
+keys. They are found without sorting a cell: keys are counted in BUCKETS buckets, which tells the bucket where
+the cell's number is reached, and only the rows of that bucket are ranked. A cell with a third of all rows is
+spread over as many tasks as any other.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import hash_uniform
@@ -21,6 +22,7 @@ from factloom.llm.common import hash_uniform
 #: Bounds of what is read to the driver: target rows, and cells (at most the product of the attributes' categories).
 MOST_TARGETS, MOST_CELLS = 10_000, 200_000
 ROUNDS = 500
+BUCKETS = 4096
 
 
 def spelling(value: Column) -> Column:
@@ -100,13 +102,32 @@ def _cells(coded: DataFrame, t: Targets) -> tuple[np.ndarray, np.ndarray]:
     return np.array([[r[n] for n in names] for r in rows], int).reshape(len(rows), len(names)), np.array([r["n"] for r in rows], float)
 
 
+def plan(cells: np.ndarray, available: np.ndarray, targets: Targets, size: float) -> np.ndarray:
+    """Rows to take from each cell: raked, rounded by largest remainder, with the categories' minimums repaired."""
+    want = rake(cells, available, targets, size) * available
+    take = np.floor(want + 1e-9).astype(int)
+    spare = int(round(want.sum())) - take.sum()
+    order = sorted(range(len(take)), key=lambda i: (take[i] - want[i], i))
+    for i in order[: max(0, spare)]:
+        take[i] += take[i] < available[i]
+    for a, name in enumerate(targets.attributes):
+        for k, least in enumerate(targets.least[name]):
+            mine = np.flatnonzero(cells[:, a] == k)
+            lack = min(int(least), int(available[mine].sum())) - int(take[mine].sum())
+            for i in sorted(mine, key=lambda i: (take[i] - available[i], i)):  # the cells with the most rows left first
+                more = min(max(0, lack), int(available[i]) - int(take[i]))
+                take[i] += more
+                lack -= more
+    return take
+
+
 def draw(records: DataFrame, targets: DataFrame, fraction: float = 0.2, seed: int = 5, key: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """The sample (row_id, weight) and the report (attribute, category, target_share, min_rows, available, wanted, sampled, gap, short).
 
-    fraction: size of the sample against all rows. weight is 1 / rate of the row's cell. Rows with a null category or
-    one that no target names aren't drawn, except to fill a minimum of another attribute. short: the category has fewer
-    rows than share * size, so no sample can meet its target. Rows with equal key are drawn alike. An empty table gives an
-    empty sample and a report of zeros.
+    fraction: size of the sample against all rows. weight is how many rows of its cell a drawn row stands for. Rows with a null
+    category or one that no target names are drawn only to fill a minimum of another attribute. short: the category has
+    fewer rows than share * size, so no sample can meet its target; the sample is then smaller. Repeated rows count row by row.
+    An empty table gives an empty sample and a report of zeros; no targets give an empty sample and report.
     """
     spark = records.sparkSession
     t = Targets(targets)
@@ -117,40 +138,23 @@ def draw(records: DataFrame, targets: DataFrame, fraction: float = 0.2, seed: in
     cells, available = _cells(coded, t)
     total = float(available.sum())
     size = total * fraction
-    rates = rake(cells, available, t, size)
-    names = [f"c{i}" for i in range(len(t.attributes))]
-    table = spark.createDataFrame([(*map(int, c), float(r)) for c, r in zip(cells, rates, strict=True)] or [(*[-1] * len(names), 0.0)], ", ".join(f"{n} int" for n in names) + ", rate double")
-    # u in (0, 1]: rows with the same row_id get the same
-    u = F.lit(1.0) - hash_uniform(F.col("row_id"), seed=seed)
-    weight = -F.log(F.greatest(F.lit(1e-300), 1 - F.least(F.col("rate"), F.lit(1.0))))
-    keyed = coded.join(F.broadcast(table), names).withColumn("key", F.when(F.col("rate") > 0, -F.log(u) / weight))  # one row a cell, at most MOST_CELLS
-    drawn = (F.col("rate") >= 1) | (F.col("key") < 1)
-    keyed = keyed.withColumn("drawn", F.coalesce(drawn, F.lit(False)))
-    # what was drawn, by cell: bounded by the cells
-    got = {tuple(r[n] for n in names): (r["n"], r["m"]) for r in keyed.groupBy(*names).agg(F.count("*").alias("n"), F.count_if("drawn").alias("m")).collect()}
-    extra = None
-    for i, a in enumerate(t.attributes):
-        for k, j in t.index[a].items():
-            sampled = sum(m for c, (_, m) in got.items() if c[i] == j)
-            lack = int(min(t.least[a][j], sum(n for c, (n, _) in got.items() if c[i] == j)) - sampled)
-            if lack > 0:
-                more = keyed.where((F.col(names[i]) == j) & ~F.col("drawn")).orderBy(F.coalesce("key", F.lit(float("inf"))), u, "row_id").limit(lack)
-                extra = more if extra is None else extra.union(more)
-    sample = keyed.where("drawn")
-    if extra is not None:
-        sample = sample.union(extra.dropDuplicates(["row_id"]))
-    one = F.when(F.col("rate") > 0, 1 / F.col("rate"))
-    parts = [F.struct(F.lit(a).alias("a"), F.col(n).alias("c")) for n, a in zip(names, t.attributes, strict=True)]
-    counts = sample.select(F.explode(F.array(*parts)).alias("x")).groupBy("x.a", "x.c").count()
-    known = []
+    take = plan(cells, available, t, size) if len(cells) else np.zeros(0, int)
+    report = []
     for r in t.rows:
-        i, j = t.attributes.index(r.attribute), t.index[r.attribute][r.key]
-        n = int(sum(v for c, v in zip(cells, available, strict=True) if c[i] == j))
-        share = float(r.target_share or 0.0)
-        known.append((r.attribute, j, r.category, share, int(r.min_rows or 0), n, share * size, n < share * total * fraction))
-    wanted = spark.createDataFrame(known, "a string, c int, category string, target_share double, min_rows bigint, available bigint, wanted double, short boolean")
-    n = F.coalesce("count", F.lit(0))
-    report = wanted.join(counts, ["a", "c"], "left").select(
-        F.col("a").alias("attribute"), "category", "target_share", "min_rows", "available", "wanted", n.alias("sampled"), (n - F.col("wanted")).alias("gap"), "short"
-    )
-    return sample.select("row_id", F.coalesce(one, F.lit(1.0)).alias("weight")), report
+        mine = cells[:, t.attributes.index(r.attribute)] == t.index[r.attribute][r.key]
+        n, sampled, share = int(available[mine].sum()), int(take[mine].sum()), float(r.target_share or 0.0)
+        report.append((r.attribute, r.category, share, int(r.min_rows or 0), n, share * size, sampled, sampled - share * size, n < share * size))
+    names = [f"c{i}" for i in range(len(t.attributes))]
+    rows = [(*map(int, c), int(n), float(a / n)) for c, a, n in zip(cells, available, take, strict=True) if n > 0]
+    wanted = F.broadcast(spark.createDataFrame(rows or [(*[-2] * len(names), 0, 0.0)], ", ".join(f"{n} int" for n in names) + ", take int, weight double"))  # one row a cell, at most MOST_CELLS
+    # in a cell all weights are equal, so the least keys -ln(1 - u) / weight are the least u
+    keyed = coded.withColumn("u", hash_uniform(F.col("row_id"), seed=seed)).withColumn("bucket", F.floor(F.col("u") * BUCKETS).cast("int"))
+    counted = keyed.join(wanted, names).groupBy(*names, "take", "weight", "bucket").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*names).orderBy("bucket"))
+    edge = counted.withColumn("upto", upto).where((F.col("upto") >= F.col("take")) & (F.col("upto") - F.col("n") < F.col("take")))
+    edge = edge.select(*names, "weight", F.col("bucket").alias("edge"), (F.col("take") - F.col("upto") + F.col("n")).alias("left"))
+    placed = keyed.join(edge, names)
+    sure = placed.where(F.col("bucket") < F.col("edge")).select("row_id", "weight")
+    last = placed.where(F.col("bucket") == F.col("edge")).withColumn("rank", F.row_number().over(Window.partitionBy(*names).orderBy("u", "row_id")))
+    sample = sure.union(last.where(F.col("rank") <= F.col("left")).select("row_id", "weight"))
+    return sample, spark.createDataFrame(report, report_schema)

@@ -17,8 +17,9 @@ def test_shares_follow_targets(gold, spark):
     df = gold(*rows)
     sample, report = raking.draw(df, t)
     drawn = sample.join(df, "row_id").groupBy().agg(F.count("*").alias("n"), F.avg((F.col("domain") == "a").cast("int")).alias("a"), F.avg((F.col("operation") == "w").cast("int")).alias("w")).first()
-    assert abs(drawn.n - 800) < 90 and abs(drawn.a - 0.5) < 0.06 and abs(drawn.w - 0.5) < 0.06
+    assert drawn.n == 800 and abs(drawn.a - 0.5) < 0.003 and abs(drawn.w - 0.5) < 0.003
     assert not any(r.short for r in report.collect())
+    assert {(r.attribute, r.category): r.sampled for r in report.collect()}[("domain", "a")] == sample.join(df.where("domain = 'a'"), "row_id").count()
     assert {r.row_id for r in sample.collect()} == {r.row_id for r in raking.draw(df.repartition(5), t)[0].collect()}
 
 
@@ -46,6 +47,14 @@ def test_extra_columns(gold, spark):
     assert sample.count() >= 20
 
 
+def test_hot_cell_and_repeated_rows(spark, gold):
+    df = gold(*[{"domain": "a"}] * 3000, *[{"domain": "b"}] * 10)
+    t = targets(spark, ("domain", "a", 0.9, 1), ("domain", "b", 0.1, 1))
+    sample, _ = raking.draw(df.union(df), t, fraction=0.01)
+    got = sample.join(df, "row_id").groupBy("domain").count().collect()
+    assert {r.domain: r["count"] for r in got} == {"a": 54, "b": 6}
+
+
 def test_rates_are_possible():
     class T:
         attributes = ["p", "q"]
