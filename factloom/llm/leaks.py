@@ -42,14 +42,24 @@ CACHE_ENTRIES = 1 << 19
 _words: dict[str, int] = {}
 
 
+#: Markup whose own words aren't the text's: what it leaves behind.
+NOTES = re.compile(r"<ref\b[^<>]*?(?:/>|>.*?</ref>)|\{\{[^{}]*\}\}|!\[[^\[\]]*\]\([^()\s]*\)", re.S)
+LINKS = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]|\[([^\[\]]*)\]\([^()\s]*\)")
+REFERENCES = re.compile(r"\\(?:cite|label|ref)[a-z]*\*?\{[^{}]*\}")
+
+
 def plain(text: str) -> str:
-    """Without markup that may stand around a passage."""
+    """Without markup that may stand around or within a passage."""
     if "&" in text:
         text = html.unescape(text)
+    if "<ref" in text or "{{" in text or "![" in text:
+        text = NOTES.sub(" ", text)
+    if "[[" in text or "](" in text:
+        text = LINKS.sub(lambda m: m[1] if m[1] is not None else m[2], text)
     if "<" in text:
         text = TAG.sub(" ", text)
     if "\\" in text:
-        text = COMMAND.sub(" ", text)
+        text = COMMAND.sub(" ", REFERENCES.sub(" ", text))
     return text
 
 

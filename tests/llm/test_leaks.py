@@ -51,6 +51,14 @@ def test_what_does_not_count(gold, documents):
     assert leaks.leaked(g.limit(0), docs).count() == 0 and leaks.leaked(g, docs.limit(0)).count() == 0
 
 
+def test_markup_within_the_record(gold, documents):
+    words = [f"unit{i}" for i in range(36)]
+    marked = [*words]
+    marked[5], marked[10], marked[15], marked[20], marked[25] = "[[Unit (model)|unit5]]", "unit10<ref>no. 4</ref>", "[unit15](https://a.example/b)", "\\emph{unit20}~\\cite{k1}", "unit25{{cite|k}}"
+    g = gold({"claim_id": "a", "context": " ".join(marked)})
+    assert leaks.leaked(g, documents(" ".join(words))).count() == 1
+
+
 def test_scripts_without_spaces(gold, documents):
     rng = random.Random(2)
     chars = "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(90))
