@@ -71,7 +71,7 @@ def panel_stats(figures: DataFrame) -> DataFrame:
     kind = F.when(n.isNull(), "unparsed").when(n > 1, "composite").otherwise("single")
     counted = figures.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
     total = counted.agg(F.sum("n").alias("total"))
-    return counted.join(F.broadcast(total)).select("kind", "n", (F.col("n") / F.col("total")).alias("share"))  # at most three rows with one
+    return counted.select("kind", "n", (F.col("n") / total.scalar()).alias("share"))
 
 
 def chart_types(figures: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def pair_accuracy(gold: DataFrame, pred: DataFrame, by: list[str], key: str = "c
     right = F.count_if(F.lower("label") == F.lower("pred_label"))
     of_run = members.join(pred, key).groupBy(*by, "claim_id_pair").agg(right.alias("right"))
     scored = of_run.join(sizes, "claim_id_pair").groupBy(*by).agg(F.count_if(F.col("right") == F.col("size")).alias("n_right"))
-    scored = scored.join(F.broadcast(total))  # one row
+    scored = scored.withColumn("n_pairs", total.scalar())
     return scored.select(*by, "n_pairs", "n_right", share(F.col("n_right"), F.col("n_pairs")).alias("pair_accuracy"))
 
 
