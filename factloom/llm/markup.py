@@ -38,8 +38,9 @@ SEGMENT = re.compile(
   | (?P<tag></?[A-Za-z][A-Za-z0-9:-]*(?:\s+[^<>]*)?/?>)
   | (?P<opentag><(?:/?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?|!-*|/)$)
   | (?P<entity>&(?:[A-Za-z][A-Za-z0-9]{1,9}|\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6});)
+  | (?P<openentity>(?<=[\w;])&(?:n(?:bsp?|b)?|amp?|lt?|gt?|qu(?:ot?)?|\#(?:\d{1,6}|[xX][0-9A-Fa-f]{0,5})?)$)
   | (?P<image>!\[[^\[\]\n]*\]\([^()\s]*(?:\s[^()\n]*)?\))
-  | (?P<link>\[[^\[\]\n]+\]\((?:https?:|www\.|mailto:|[/\#.])?[^()\s]*\))
+  | (?P<link>\[[^\[\]\n]+\]\((?:(?:https?:|www\.|mailto:|[/\#.])?[^()\s]*\)|(?:https?:|www\.)[^()\s]*$))
   | (?P<wikilink>\[\[[^\[\]\n]*(?:\]\]|$))
   | (?P<template>\{\{[^{}]*(?:\}\}|$))
   | (?P<wikitable>\{\|[^\n]*|\|\}|(?m:^\s*\|-[^\n]*$)|(?m:^\s*[|!][^|\n]+(?:\|\|[^|\n]+)+$))
@@ -260,6 +261,8 @@ def clean(text: str | None) -> str | None:
             elif low.startswith("<ref") and not low.endswith("/>"):
                 end = text.find("</ref>", b)
                 skip = len(text) if end < 0 else end + len("</ref>")
+        elif kind in ("opentag", "openentity"):
+            pass
         elif kind == "entity":
             out.append(html.unescape(s).replace("\xa0", " "))
         elif kind in ("image", "link"):
