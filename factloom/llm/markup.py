@@ -82,7 +82,7 @@ def segments(text: str) -> list[tuple[str, int, int]]:
 
 def _after_end(text: str, at: int) -> bool:
     """What stands before a line is finished: the text's start, a blank line, or a line with a final mark."""
-    before = text[:at]
+    before = text[max(0, at - 200) : at]
     return not before.strip() or before.rstrip(" \t").endswith("\n\n") or FINAL.search(before) is not None
 
 
@@ -156,42 +156,53 @@ def costs(text: str, parts: list[tuple[str, int, int]]) -> tuple[list[tuple[int,
 
 
 def min_cut(unary: list[tuple[int, int]], edges: list[tuple[int, int, int]]) -> list[bool]:
-    """Whether each node is on the markup side of a minimum cut (shortest augmenting paths).
+    """Whether each node is on the markup side of a minimum cut: the smallest such side.
 
-    Capacity from the source (markup) is the cost of content, towards the sink the cost of markup.
+    What a node can send from source to sink on its own cancels first. Then every node that still has flow to send looks for
+    the nearest node with room, along edges with capacity left (shortest augmenting paths). If there is none, all that it
+    reached is cut off from the sink for good and is never searched again, so long texts take time in proportion.
     """
     n = len(unary)
-    source, sink = n, n + 1
-    flow: list[dict[int, int]] = [{} for _ in range(n + 2)]
-    for i, (as_content, as_markup) in enumerate(unary):
-        flow[source][i], flow[i][source] = as_content, 0
-        flow[i][sink], flow[sink][i] = as_markup, 0
+    flow: list[dict[int, int]] = [{} for _ in range(n)]
     for i, j, c in edges:
         flow[i][j] = flow[i].get(j, 0) + c
         flow[j][i] = flow[j].get(i, 0) + c
-    while True:
-        parent = {source: source}
-        queue = deque([source])
-        while queue and sink not in parent:
-            u = queue.popleft()
-            for v, c in flow[u].items():
-                if c > 0 and v not in parent:
-                    parent[v] = u
-                    queue.append(v)
-        if sink not in parent:
-            return [i in parent for i in range(n)]
-        path, v = [], sink
-        while v != source:
-            path.append((parent[v], v))
-            v = parent[v]
-        least = min(flow[u][v] for u, v in path)
-        for u, v in path:
-            flow[u][v] -= least
-            flow[v][u] += least
+    excess = [max(0, a - b) for a, b in unary]
+    room = [max(0, b - a) for a, b in unary]
+    cut_off = [False] * n
+    for i in range(n):
+        while excess[i] and not cut_off[i]:
+            parent = {i: i}
+            queue = deque([i])
+            end = -1
+            while queue and end < 0:
+                u = queue.popleft()
+                for v, c in flow[u].items():
+                    if c > 0 and v not in parent and not cut_off[v]:
+                        parent[v] = u
+                        if room[v]:
+                            end = v
+                            break
+                        queue.append(v)
+            if end < 0:
+                for v in parent:
+                    cut_off[v] = True
+                break
+            path, v = [], end
+            while v != i:
+                path.append((parent[v], v))
+                v = parent[v]
+            least = min(excess[i], room[end], *(flow[u][v] for u, v in path))
+            excess[i] -= least
+            room[end] -= least
+            for u, v in path:
+                flow[u][v] -= least
+                flow[v][u] += least
+    return cut_off
 
 
 def labelled(text: str) -> list[tuple[str, int, int, bool]]:
-    """The segments with whether each is markup. Stretches between certain words are cut apart: they don't touch each other."""
+    """The segments with whether each is markup."""
     parts = segments(text)
     if all(kind == "words" for kind, _, _ in parts):
         return [(*p, False) for p in parts]

@@ -129,6 +129,11 @@ def alike(a: str | None, b: str | None) -> bool:
         return True
     if not p or not q or numbers(" ".join(p)) != numbers(" ".join(q)):
         return False
+    # equal words at both ends need no alignment
+    head = next((i for i, (u, v) in enumerate(zip(p, q, strict=False)) if u != v), min(len(p), len(q)))
+    tail = next((i for i, (u, v) in enumerate(zip(p[head:][::-1], q[head:][::-1], strict=False)) if u != v), min(len(p), len(q)) - head)
+    most = max(FEW, REWORDED * max(len(p), len(q)))
+    x, y, p, q = (z[head : len(z) - tail] for z in (x, y, p, q))
     changed = 0
     for op, i, j, k, m in SequenceMatcher(None, p, q, autojunk=False).get_opcodes():
         if op == "equal":
@@ -142,7 +147,7 @@ def alike(a: str | None, b: str | None) -> bool:
         if names[0] != names[1]:
             return False
         changed += max(len(left), len(right))
-    return changed <= max(FEW, REWORDED * max(len(p), len(q)))
+    return changed <= most
 
 
 def _check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

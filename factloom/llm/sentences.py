@@ -152,18 +152,27 @@ def quoted(text: str) -> list[tuple[int, int]]:
     """Closed quotations as spans, outermost first in text order; one left open at the very end counts up to OPEN_QUOTE."""
     spans = []
     i, n = 0, len(text)
+    following: dict[str, int] = {}
+
+    def after(mark: str, at: int) -> int:
+        """The next place of a mark, n if there is none; places are looked up once."""
+        if following.get(mark, -1) < at:
+            found = text.find(mark, at)
+            following[mark] = found if found >= 0 else n
+        return following[mark]
+
     while i < n:
+        i = min(after(a, i) for a, _ in QUOTES)
+        if i >= n:
+            break
         closing = [b for a, b in QUOTES if text[i] == a]
-        if not closing:
-            i += 1
-            continue
-        ends = [e for e in (text.find(c, i + 1) for c in closing) if e >= 0]
-        again = text.find(text[i], i + 1)
-        if ends and (again < 0 or min(ends) < again or text[i] in closing):
-            spans.append((i, min(ends) + 1))
-            i = min(ends) + 1
+        end = min(after(c, i + 1) for c in closing)
+        again = after(text[i], i + 1)
+        if end < n and (end < again or text[i] in closing):
+            spans.append((i, end + 1))
+            i = end + 1
         else:
-            if not ends and n - i <= OPEN_QUOTE:
+            if end >= n and n - i <= OPEN_QUOTE:
                 spans.append((i, n + 1))
             i += 1
     return spans

@@ -61,14 +61,14 @@ def lines_of(text: str) -> list[list[str]]:
             continue
         stretch: list[str] = []
         for sentence in FINAL.split(line):
-            words = sentence.split()
-            while words:
+            words, at = sentence.split(), 0
+            while at < len(words):
                 room = STRETCH - len(stretch)
-                if stretch and len(words) > room and len(stretch) >= STRETCH // 3:
+                if stretch and len(words) - at > room and len(stretch) >= STRETCH // 3:
                     out.append(stretch)
                     stretch, room = [], STRETCH
-                stretch = stretch + words[:room]
-                words = words[room:]
+                stretch = stretch + words[at : at + room]
+                at += room
                 if len(stretch) >= STRETCH:
                     out.append(stretch)
                     stretch = []
