@@ -489,12 +489,12 @@ def path_parts(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_resume(spark: SparkSession, d: str) -> DataFrame:
     """Predictions worked through as a stream, twice; the second run has nothing to do."""
-    import tempfile
     import uuid
 
+    from factloom.session import shared_dir
     from factloom.streaming import resume
 
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/factloom-stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/factloom-stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "task1_pred").schema
     label = lambda batch: batch.withColumn("label", F.initcap("pred_label"))
     for _ in range(2):

@@ -21,6 +21,21 @@ def session(name: str = "factloom", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or where it is unset on a local master (tests) one of our own."""
+    import os
+    import tempfile
+
+    set_by = spark.conf.get("spark.checkpoint.dir", None)
+    if set_by:
+        return set_by
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = os.path.join(tempfile.gettempdir(), "factloom-checkpoints")
+    spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once a session: they may not share the driver's path."""
     import hashlib
