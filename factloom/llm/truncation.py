@@ -36,6 +36,8 @@ ENDING = 160
 LIMIT_ROWS, LIMIT_SHARE, MOST_LIMITS = 3, 0.08, 8
 #: An ending is a cut if it ends a value in less than ENDS of its occurrences, of which there are at least SEEN.
 ENDS, SEEN = 0.12, 5
+#: A value of just a limit's length is whole if so many times as many unfinished values of other lengths end like it.
+USUAL = 4
 #: Counts that a worker keeps before it gives them out.
 COUNTERS = 1 << 19
 
@@ -243,6 +245,8 @@ def detect(records: DataFrame, fields: tuple[str, ...] = ("caption", "context"),
     of = limits.groupBy("source", "field").agg(F.collect_list(F.when(F.col("unit") == "chars", F.col("size"))).alias("in_chars"), F.collect_list(F.when(F.col("unit") == "bytes", F.col("size"))).alias("in_bytes"))
     at = F.coalesce(F.array_contains("in_chars", F.col("chars")), F.lit(False)) | F.coalesce(F.exists("in_bytes", lambda b: (F.col("bytes") <= b) & (F.col("bytes") > b - 4) & (F.col("bytes") > F.col("chars"))), F.lit(False))
     known = known.join(of, ["source", "field"], "left").withColumn("at_limit", at)
+    of_ending = known.groupBy("two").agg(F.count_if("at_limit").alias("on_limit"), F.count_if(~F.col("at_limit")).alias("off_limit"))
+    known = known.join(of_ending, "two")
     # endings
     counts = texts.select("text").mapInArrow(_counts, "gram bigint, ends bigint, goes bigint").groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
     two = counts.select(F.col("gram").alias("two"), F.col("ends").alias("ends2"), F.col("goes").alias("goes2"))
@@ -250,7 +254,8 @@ def detect(records: DataFrame, fields: tuple[str, ...] = ("caption", "context"),
     known = known.join(two, "two", "left").join(one, "one", "left")
     all2, all1 = F.col("ends2") + F.col("goes2"), F.col("ends1") + F.col("goes1")
     goes_on = F.when(all2 >= SEEN, F.col("ends2") < ENDS * all2).when(F.col("number"), False).when(all1 >= SEEN, F.col("ends1") < ENDS * all1).otherwise(F.col("word") & (F.coalesce("goes1", F.lit(0)) == 0))
-    why = F.coalesce("why", F.when(F.col("broken"), "broken"), F.when(F.col("at_limit"), "limit"), F.when((F.col("ended") == 0) & F.coalesce(goes_on, F.lit(False)), "ending"))
+    usual = (F.col("off_limit") >= SEEN) & (F.col("off_limit") >= USUAL * F.col("on_limit"))
+    why = F.coalesce("why", F.when(F.col("broken"), "broken"), F.when(F.col("at_limit") & ~usual, "limit"), F.when((F.col("ended") == 0) & F.coalesce(goes_on, F.lit(False)), "ending"))
     return known.select("row_id", "field", "source", why.alias("why")).where("why is not null")
 
 
