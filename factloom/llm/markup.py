@@ -244,6 +244,7 @@ def clean(text: str | None) -> str | None:
     out: list[str] = []
     skip = 0
     fenced = False
+    closing: set[int] = set()  # braces that end a group like {\\it ...}
     for kind, a, b, is_markup in parts:
         if b <= skip:
             continue
@@ -252,6 +253,8 @@ def clean(text: str | None) -> str | None:
         if fenced and kind != "fence":
             out.append(s)
         elif not is_markup:
+            for at in sorted((p for p in closing if a <= p < b), reverse=True):
+                s = s[: at - a] + s[at - a + 1 :]
             out.append(s)
         elif kind == "fence":
             fenced = not fenced
@@ -284,9 +287,14 @@ def clean(text: str | None) -> str | None:
             inner = s.strip("{}").split("|")
             out.append("" if inner[0].strip().lower().startswith(("cite", "sfn", "ref", "citation")) else inner[-1])
         elif kind == "wikitable":
-            out.append("" if s.lstrip().startswith(("{|", "|}", "|-")) else s.strip(" |!").replace("||", "|"))
+            if s.lstrip().startswith(("{|", "|}", "|-")):
+                skip = b + (text[b : b + 1] == "\n")
+            else:
+                out.append(s.strip(" |!").replace("||", "|"))
+        elif kind == "row" and not re.search(r"[^\s|:-]", s):
+            skip = b + (text[b : b + 1] == "\n")
         elif kind in ("math", "mathblock", "code", "row"):
-            out.append("" if kind == "row" and not re.search(r"[^\s|:-]", s) else s)
+            out.append(s)
         elif kind == "script":
             out.append(re.sub(r"\\[A-Za-z]+|[{}$]", "", s))
         elif kind == "heading":
@@ -299,10 +307,19 @@ def clean(text: str | None) -> str | None:
             name = re.sub(r"^\\|\*?(?:\[[^\[\]]*\])?$", "", s)
             if name in ("begin", "end") and text[b : b + 1] == "{":
                 environment, skip = _argument(text, b)
-                if environment.startswith(("equation", "align", "math")):
-                    out.append("$$")
+                if name == "begin" and environment.startswith(("equation", "align", "math", "gather", "eqnarray")):
+                    end = text.find(f"\\end{{{environment}}}", skip)
+                    inner = text[skip : end if end >= 0 else len(text)]
+                    skip = end + len(environment) + 6 if end >= 0 else len(text)
+                    out.append(f"$${inner.rstrip()}\n$$" if "\n" in inner else f"$${inner}$$")
+                elif text[skip : skip + 1] == "\n" and (not out or out[-1].endswith("\n")):
+                    skip += 1
             elif name == "item":
-                out.append("- ")
+                out.append("-" if text[b : b + 1] == " " else "- ")
+            elif text[a - 1 : a] == "{" and out and out[-1].endswith("{") and name not in BARE and text[b : b + 1] != "{":
+                out[-1] = out[-1][:-1]
+                closing.add(_argument(text, a - 1)[1] - 1)
+                skip = b + (text[b : b + 1] == " ")
             elif name in BARE and not name.isalpha():
                 out.append(BARE[name])
             elif text[b : b + 1] == "{" and name not in BARE:
@@ -311,8 +328,7 @@ def clean(text: str | None) -> str | None:
                     out.append(TITLES.get(name, "") + (clean(inner) or ""))
             else:
                 out.append(BARE.get(name, ""))
-    joined = re.sub(r"\{\s*([^{}\n,]*?)\s*\}", r"\1", "".join(out)) if any(k == "command" and m for k, _, _, m in parts) else "".join(out)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", joined)).strip()
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(out))).strip()
 
 
 def _fields(records: DataFrame, fields: tuple[str, ...], key: str) -> DataFrame:

@@ -27,11 +27,15 @@ def test_plain_text_is_not(text):
 def test_structure_is_kept():
     c = markup.clean
     assert c("<h2>Title</h2><p>A &amp; B</p><ul><li>one</li><li>two</li></ul>") == "## Title\n\nA & B\n\n- one\n- two"
-    assert c("\\section{A}\n\\begin{itemize}\n\\item one\n\\item two\n\\end{itemize}") == "# A\n\n-  one\n-  two"
+    assert c("\\section{A}\n\\begin{itemize}\n\\item one\n\\item two\n\\end{itemize}") == "# A\n- one\n- two"
     assert c("== Head ==\n'''x''' [[P (m)|P]]{{cite|k}}") == "## Head\nx P"
     assert c("a [it](http://b) `x` ($\\pm 4$)") == "a it `x` ($\\pm 4$)"
     assert c("```\nx = <b>\n```") == "```\nx = <b>\n```"
     assert c("\\emph{a \\textbf{b}} c \\cite{k}d") == "a b c d"
+    assert c("a\n\\begin{equation}\ny_{8} = \\frac{1}{9} y_i\n\\end{equation}\nb") == "a\n$$\ny_{8} = \\frac{1}{9} y_i\n$$\nb"
+    assert c("a:\n\n| x | n |\n|---|---|\n| y | 4 |") == "a:\n\n| x | n |\n| y | 4 |"
+    assert c("{| class=\"w\"\n|-\n| a || 2\n|}\nb") == "a | 2\nb"
+    assert c("in {\\it Foo} and {a, b} \\emph{x}") == "in Foo and {a, b} x"
     assert c(None) is None
 
 
