@@ -40,6 +40,8 @@ ENDS, SEEN = 0.12, 5
 USUAL = 4
 #: Counts that a worker keeps before it gives them out.
 COUNTERS = 1 << 19
+#: Rungs of the ladder that a worker remembers having given out.
+RUNGS = 1 << 18
 
 ENDED = regex.compile(rf"({sentences.MARK}+)((?:{sentences.CLOSERS}|\s)*{sentences.CITATION}*)\s*$")
 ABBREVIATIONS = frozenset(" ".join(sentences.NEVER_LAST.values()).split()) | {"a.m", "p.m", "E.g", "I.e"}
@@ -165,16 +167,23 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ladder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash of each prefix of STEP, 2 STEP, ... characters, with what follows; equal ones of a worker are given out once."""
+    given: set[tuple[int, str]] = set()
     for batch in batches:
-        prefixes, shown = [], []
+        new: list[tuple[int, str]] = []
         for field, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text = squeezed(raw)
             state = xxhash.xxh3_64(field.encode())
             for step in range(0, len(text), STEP):
-                prefixes.append(state.intdigest())
-                shown.append(text[step : step + SHOWN])
+                rung = (state.intdigest(), text[step : step + SHOWN])
+                if rung not in given:
+                    given.add(rung)
+                    new.append(rung)
                 state.update(text[step : step + STEP].encode("utf-8", "surrogatepass"))
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(prefixes, np.uint64).view(np.int64)), pa.array(shown, pa.string())], names=["prefix", "shown"])
+            if len(given) > RUNGS:
+                given.clear()
+        prefixes = np.array([h for h, _ in new], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(prefixes), pa.array([x for _, x in new], pa.string())], names=["prefix", "shown"])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +238,8 @@ def detect(records: DataFrame, fields: tuple[str, ...] = ("caption", "context"),
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), records[f].alias("text")) for f in fields]))
     texts = records.select(records[key].cast("bigint").alias("row_id"), F.coalesce(records[source], F.lit("")).alias("source"), each.alias("x")).select("row_id", "source", "x.field", "x.text").where("text is not null and trim(text) <> ''")
     values = materialize(texts.mapInArrow(_values, VALUE_SCHEMA))
-    ladder = texts.select("field", "text").mapInArrow(_ladder, "prefix bigint, shown string").distinct()
+    # one exchange serves both the removal of equal rungs and the join; copies of one text are mostly gone before it
+    ladder = texts.select("field", "text").mapInArrow(_ladder, "prefix bigint, shown string").repartition("prefix").distinct()
     # strict prefixes of a longer copy
     probes = values.select("row_id", "field", "prefix", "rest", "tail")
     longer = probes.join(ladder, "prefix").where(F.col("shown").startswith(F.col("rest")) & (F.length("shown") > F.length("rest")))
