@@ -38,7 +38,11 @@ def fetch(ids: DataFrame, key: str, service: Callable[[list[str]], list[tuple[st
 
 
 class SearchSource(DataSource):
-    """format("claim_search"): options `path` (a JSON-lines file of documents), `licences` (comma-separated), `phrase`, `n`."""
+    """format("claim_search"): options `path` (a JSON-lines file of documents), `licences` (comma-separated), `phrase`, `n`.
+
+    With `pushdown` = true, conditions on the licence are pushed into the search, so `n` counts what they leave; the session
+    then needs spark.sql.python.filterPushdown.enabled.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -48,7 +52,8 @@ class SearchSource(DataSource):
         return "rank int, pmcid string, title string, licence string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _SearchReader(self.options)
+        pushing = self.options.get("pushdown", "false").lower() == "true"
+        return (_PushingReader if pushing else _SearchReader)(self.options)
 
 
 class _SearchReader(DataSourceReader):
@@ -59,17 +64,6 @@ class _SearchReader(DataSourceReader):
         self.n = int(options.get("n", "100"))
         self.nothing = False
 
-    def pushFilters(self, filters):
-        """Equality and membership on the licence are the service's work; everything else stays with the engine."""
-        for f in filters:
-            column, value = getattr(f, "attribute", None), getattr(f, "value", None)
-            if column == ("licence",) and isinstance(f, (EqualTo, In)):
-                asked = set(value) if isinstance(f, In) else {value}
-                self.licences = self.licences & asked if self.licences else asked
-                self.nothing = not self.licences
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(0)]  # a search answers with one ranked list
 
@@ -86,3 +80,16 @@ class _SearchReader(DataSourceReader):
                 if (not self.licences or d.get("licence") in self.licences) and self.phrase in texts:
                     yield rank, d.get("pmcid"), d.get("title"), d.get("licence")
                     rank += 1
+
+
+class _PushingReader(_SearchReader):
+    def pushFilters(self, filters):
+        """Equality and membership on the licence are the service's work; everything else stays with the engine."""
+        for f in filters:
+            column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            if column == ("licence",) and isinstance(f, (EqualTo, In)):
+                asked = set(value) if isinstance(f, In) else {value}
+                self.licences = self.licences & asked if self.licences else asked
+                self.nothing = not self.licences
+            else:
+                yield f

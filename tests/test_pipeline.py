@@ -122,6 +122,8 @@ def test_connectors(spark, tmp_path):
     spark.dataSource.register(connectors.SearchSource)
     hits = spark.read.format("claim_search").option("path", str(tmp_path / "d.jsonl")).option("licences", "cc").option("phrase", "Forest").option("n", "3").load()
     assert [r.pmcid for r in hits.orderBy("rank").collect()] == ["0", "1", "2"]
+    pushed = spark.read.format("claim_search").option("path", str(tmp_path / "d.jsonl")).option("n", "3").option("pushdown", "true").load()
+    assert pushed.where("licence = 'by'").count() == 0 and pushed.where("licence in ('cc', 'by')").count() == 3
     assert hits.where("licence = 'by'").count() == 0 and hits.where("licence = 'cc' and pmcid = '1'").count() == 1
 
 
