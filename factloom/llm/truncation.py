@@ -1,15 +1,16 @@
 """Values cut off by field limits or in transfer.
 
 1. Prefix self-join. Every value publishes a hash of its prefixes at the steps of a ladder of fixed lengths,
-   with the characters that follow. A value that doesn't end like a finished one looks itself up at its last
-   step: it is a strict prefix of a longer copy if the hash and the rest agree. No texts are joined.
+   with the characters that follow. Every value, however it ends, looks itself up at its last step: it is a
+   strict prefix of a longer copy if the hash and the rest agree. No texts are joined.
 2. Limits. Lengths (in characters or bytes) at which such prefixes pile up within a source are its field
    limits; unfinished values of just that length are cut too, with or without a copy.
 3. Endings. How often each pair of last words ends a value against how often it goes on, counted over all
    values: an ending that nearly always goes on elsewhere is a cut, and so is a last word that stands nowhere else. Marks of a broken character or an
    ellipsis at the end are cuts as well.
 
-A value that ends with a sentence, or just before its final mark, is whole: see `finished` and `between`.
+A longer copy tells by itself whether it goes on with a new sentence, or with just the final mark (`between`); limits and
+endings judge only values that don't end with a sentence (`finished`).
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ RUNGS = 1 << 18
 
 ENDED = regex.compile(rf"({sentences.MARK}+)((?:{sentences.CLOSERS}|\s)*{sentences.CITATION}*)\s*$")
 ABBREVIATIONS = frozenset(" ".join(sentences.NEVER_LAST.values()).split()) | {"a.m", "p.m", "E.g", "I.e"}
+#: Words before a point that may be within a sentence as well as at its end.
+PERHAPS = frozenset(" ".join(sentences.PERHAPS_LAST.values()).split())
+#: A number, perhaps in a bracket or at the end of a range, whose point may be a decimal one.
+BEFORE_POINT = regex.compile(r"(?:^|[^\p{N}.])\p{N}+$")
 #: Second parts of spaced abbreviations, with what stands before them.
 SPACED = {"ex": "p.", "ej": "p.", "UU": "EE."}
 CLOSING = regex.compile(r"(?:\s|(?<=[\p{P}\s])\}|\}$|</\w+>|\\label\{[^{}]*\})+$")
@@ -79,7 +84,7 @@ def abbreviated(head: str) -> bool:
 
 
 def finished(text: str) -> int:
-    """2: ends with a sentence. 1: ends with a mark that may be within one (a number's point). 0: neither. Closing markup doesn't count."""
+    """2: ends with a sentence. 1: ends with a mark that may be within one (a number's, 'et al.', a spaced one). 0: neither. Closing markup doesn't count."""
     head = without_closing(text[-ENDING:])
     if head[-1:] not in FINAL_MARKS:
         m = ENDED.search(head)
@@ -96,7 +101,7 @@ def finished(text: str) -> int:
         if abbreviated(head):
             return 0
         number = head[:-1].rpartition(" ")[2]
-        if number.isdigit():
+        if number in PERHAPS or not number or BEFORE_POINT.search(number) and not any(map(str.isalpha, number)):
             return 1
     return 2
 
@@ -145,21 +150,23 @@ VALUE_SCHEMA = "row_id bigint, source string, field string, chars int, bytes int
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is known of each value that doesn't end like a finished one."""
+    """What is known of each value. The last words count only where it doesn't end like a finished one."""
     for batch in batches:
         rows = []
         for row_id, source, field, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             text = squeezed(raw)
             ended = finished(text)
-            if ended == 2:
-                continue
             broken = text.endswith(("�", "…")) or text.endswith("...")
             step = len(text) // STEP * STEP
-            shown = without_closing(text[-200:])
-            tokens = grams(shown.lower() if shown.isupper() else shown)
-            last = tokens[-1] if tokens else ""
-            two = "\x1f".join(tokens[-2:])
-            rows.append((row_id, source, field, len(raw), len(raw.encode("utf-8", "surrogatepass")), broken, ended, step, _hash(field + text[:step]), text[step:], text[-120:], len(text), _hash(two), _hash(last), last[:1].isalpha() and last != "N", last[:1].isdigit()))
+            prefix = _hash(field + text[:step])
+            if ended == 2:
+                last, two, one = "", prefix, prefix  # no gram: only a longer copy can tell that it is cut
+            else:
+                shown = without_closing(text[-200:])
+                tokens = grams(shown.lower() if shown.isupper() else shown)
+                last = tokens[-1] if tokens else ""
+                two, one = _hash("\x1f".join(tokens[-2:])), _hash(last)
+            rows.append((row_id, source, field, len(raw), len(raw.encode("utf-8", "surrogatepass")), broken, ended, step, prefix, text[step:], text[-120:], len(text), two, one, last[:1].isalpha() and last != "N", last[:1].isdigit()))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 16
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
         names = [x.split()[0] for x in VALUE_SCHEMA.split(", ")]
@@ -245,7 +252,7 @@ def detect(records: DataFrame, fields: tuple[str, ...] = ("caption", "context"),
     longer = probes.join(ladder, "prefix").where(F.col("shown").startswith(F.col("rest")) & (F.length("shown") > F.length("rest")))
     seen = longer.select("row_id", "field", "tail", F.expr("substr(shown, length(rest) + 1)").alias("after"))
     prefixed = materialize(seen.mapInPandas(_judge, "row_id bigint, field string").distinct().withColumn("why", F.lit("prefix")))
-    known = values.join(prefixed, ["row_id", "field"], "left")
+    known = values.join(prefixed, ["row_id", "field"], "left").where("ended < 2 or why is not null")
     # limits: lengths at which prefixes pile up
     sizes = known.where("why is not null").select("source", "field", "prefix", "rest", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("x")).select("source", "field", "prefix", "rest", "x.unit", "x.size").distinct()
     piled = sizes.groupBy("source", "field", "unit", "size").agg(F.count("*").alias("n"))

@@ -23,6 +23,14 @@ def test_limits_are_learnt(gold):
     assert {x for x in got if x[2] == "prefix"} == {(i, "caption", "prefix") for i in range(7, 13)} and (13, "caption", "limit") in got
 
 
+def test_prefix_that_looks_finished(gold):
+    texts = [x + " and it was then shown to hold." for x in ("In the later and smaller study Sembaski et al. report a mixed ablation of the model", "The pool entries of the annotators were re-read ... and then kept", "The score of the new model rose by far (deeper range 70.2-78.8), etc., as in the rest", "Values are the mean over all of the runs (0.56)")]
+    at = [texts[0].index(" report"), texts[1].index(".. and"), texts[2].index("8), etc"), texts[3].index("56)")]
+    rows = [{"context": x} for x in texts] + [{"context": x[:k]} for x, k in zip(texts, at, strict=True)]
+    assert [t.finished(x) for x in ("Sembaski et al.", "re-read .", "(70.2-78.", "(0.", "of 0.56.", "the [6].")] == [1, 1, 1, 1, 2, 2]
+    assert found(gold(*rows)) == {(i, "context", "prefix") for i in range(5, 9)}
+
+
 def test_broken_ends_and_odd_values(gold):
     rows = [{"context": "It ends in a broken charact�"}, {"context": "It was left off..."}, {"context": ""}, {"context": "  "}, {}, {"context": "Fine."}, {"context": "Fine."}, {"context": "x" * 200_000 + "."}]
     assert found(gold(*rows)) == {(1, "context", "broken"), (2, "context", "broken")}
