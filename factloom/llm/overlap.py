@@ -36,6 +36,15 @@ WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}\p{N
 HYPHENS = regex.compile(r"[‐-―−﹘﹣－]")
 SPACES = regex.compile(r"[\s­​-‏‪-‮⁠﻿]+")
 DIGITS = regex.compile(r"\p{N}+")
+#: Words that tell German, which capitalises its nouns, and the least share of a text's words; share of the longer words with a capital in a title.
+GERMAN = frozenset("der das den dem und ist sind auf für mit von bei als nicht ein eine einen einem einer wird werden zeigt dass aus im zu je gegen durch über nach ohne".split())
+GERMAN_SHARE, TITLE_SHARE = 0.08, 0.6
+#: What tells a German noun from a name: an article before it and its adjectives, or its ending.
+ARTICLES = frozenset("der die das den dem des ein eine einen einem einer eines kein keine keinen jede jeder jedes jeden diese dieser dieses diesen".split())
+ADJECTIVE = regex.compile(r"\p{Ll}{2,}e[nrsm]?")
+NOUN = regex.compile(r"\p{L}{2,}(?:ung|heit|keit|schaft|tion|tät|nis|ismus)(?:s|en|sen|se)?")
+#: Whether a word names something: no; perhaps (a capital where nouns or all words have one); yes.
+PLAIN, PERHAPS, NAME = 0, 1, 2
 
 
 def folded(text: str | None) -> str:
@@ -92,29 +101,57 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(totals, pa.int32())], names=["class_id", "digest", "size", "total"])
 
 
-def _slip(a: str, b: str, name: bool) -> bool:
-    """b is a slip of typing of a: neighbours swapped, or (not within a name) a letter lost, added or changed, at most two of them."""
+def _slip(a: str, b: str, name: int) -> bool:
+    """b is a slip of typing of a: neighbours swapped, or (not within a name) a letter lost, added or changed, at most two of them (one in what may be a name)."""
     if len(a) == len(b):
         at = [i for i in range(len(a)) if a[i] != b[i]]
         swapped = sorted(a) == sorted(b) and len(at) <= 4
-        return swapped or (not name and len(at) <= 1 + (len(a) > 6) and len(a) > 3)
-    if name or abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 4:
+        return swapped or (name != NAME and len(at) <= 1 + (len(a) > 6 and name == PLAIN) and len(a) > 3)
+    if name == NAME or abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 4:
         return False
     a, b = sorted((a, b), key=len)
     i = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
     return a[i:] == b[i + 1 :]
 
 
-def _tokens(text: str) -> list[tuple[str, bool]]:
-    """(word in lower case, whether it names something: it has a digit, inner capitals, or a capital within a sentence)."""
+def _capitals_tell(text: str) -> bool:
+    """A capital within a sentence makes a name: the text isn't German, nor a title whose words all have one."""
+    words = WORD.findall(text)
+    long = [w for w in words if len(w) > 3 and w[0].isalpha()]
+    title = len(long) > 3 and sum(w[0].isupper() for w in long) >= TITLE_SHARE * len(long)
+    return not title and sum(w.casefold() in GERMAN for w in words) < GERMAN_SHARE * max(1, len(words))
+
+
+def _noun(words: list[str]) -> bool:
+    """The last of the words is a German noun by its ending, or by an article or a number before it and its adjectives."""
+    if NOUN.fullmatch(words[-1]):
+        return True
+    i = len(words) - 2
+    while i >= 0 and words[i].casefold() not in ARTICLES and ADJECTIVE.fullmatch(words[i]):
+        i -= 1
+    return i >= 0 and (words[i].casefold() in ARTICLES or words[i][0].isdigit())
+
+
+def _tokens(text: str, tell: bool = True, small: frozenset[str] = frozenset()) -> list[tuple[str, int]]:
+    """(word in lower case, whether it names something: it has a digit, inner capitals, or a capital within a sentence).
+
+    Where capitals don't tell, a word that has only its first as a capital may be a name; not if it is known in small letters.
+    """
     text = folded(text)
     letters = [c for c in text if c.isalpha()]
     cased = sum(map(str.isupper, letters)) < 0.6 * max(1, len(letters))
     out = []
+    before: list[str] = []
     for m in WORD.finditer(text):
         w = m[0]
+        before = [*before[-4:], w]
         starts = m.start() == 0 or text[: m.start()].rstrip(" “\"'«(")[-1:] in ("", ".", "!", "?", ":", "。")
-        out.append((w.casefold(), any(map(str.isdigit, w)) or cased and (w[:1].isupper() and not starts or any(map(str.isupper, w[1:])))))
+        name = PLAIN
+        if any(map(str.isdigit, w)) or cased and any(map(str.isupper, w[1:])):
+            name = NAME
+        elif cased and w[:1].isupper() and not starts:
+            name = NAME if tell else PLAIN if w.casefold() in small or _noun(before) else PERHAPS
+        out.append((w.casefold(), name))
     return out
 
 
@@ -127,6 +164,10 @@ def alike(a: str | None, b: str | None) -> bool:
     p, q = [w for w, _ in x], [w for w, _ in y]
     if p == q:
         return True
+    one, two = folded(a), folded(b)
+    if not (_capitals_tell(one) and _capitals_tell(two)):
+        small = frozenset(w for w in WORD.findall(f"{one} {two}") if w.islower())
+        x, y = _tokens(one, False, small), _tokens(two, False, small)
     if not p or not q or numbers(" ".join(p)) != numbers(" ".join(q)):
         return False
     # equal words at both ends need no alignment
@@ -141,9 +182,9 @@ def alike(a: str | None, b: str | None) -> bool:
         left, right = x[i:j], y[k:m]
         if "".join(w for w, _ in left) == "".join(w for w, _ in right):
             continue  # spacing
-        if len(left) == len(right) and all(u == v or _slip(u, v, s or t) for (u, s), (v, t) in zip(left, right, strict=True)):
+        if len(left) == len(right) and all(u == v or _slip(u, v, NAME if NAME in (s, t) else min(s, t)) for (u, s), (v, t) in zip(left, right, strict=True)):
             continue
-        names = [sorted(w for w, is_name in side if is_name) for side in (left, right)]
+        names = [sorted(w for w, name in side if name) for side in (left, right)]
         if names[0] != names[1]:
             return False
         changed += max(len(left), len(right))

@@ -38,6 +38,17 @@ def test_alike():
     assert not overlap.alike("It is 5 of 6", "It is 5 of 7") and overlap.alike(None, "") and not overlap.alike("a b c d e f", None)
 
 
+def test_nouns_with_capitals_are_no_names():
+    german = "Ohne die kleinere Verlustkurve fällt Sorbagate-2 auf 0,74 zurück, mehr als Disbaprop je Wurzelmasse bei 576 Läufen"
+    for a, b in (("Verlustkurve", "Verlustkuve"), ("Wurzelmasse", "Wurzellmasse"), ("Läufen", "Laufen"), ("kleinere Verlustkurve", "geringere Einbuße"), ("bei 576 Läufen", "in 576 Durchgängen")):
+        assert overlap.alike(german, german.replace(a, b)), b
+    for a, b in (("Disbaprop", "Rutbarank"), ("Sorbagate-2", "Sorbagat-2"), ("Disbaprop", "Distaprof"), ("576", "577")):
+        assert not overlap.alike(german, german.replace(a, b)), b
+    title = "Comparison of the Robust Loss Curve on Zonbapanel, Averaged over All Folds"
+    assert overlap.alike(title, title.replace("Robust", "Robst")) and not overlap.alike(title, title.replace("Zonbapanel", "Hirbaprop"))
+    assert not overlap.alike("We saw that Rumbacore wins here", "We saw that Rumbacor wins here")
+
+
 def test_chunks_cover_the_text():
     text = "abc def ghi jkl mno pqr stu vwx yz " * 7
     assert "".join(overlap.chunks(text)) == text and "".join(overlap.chunks("ab")) == "ab" and overlap.chunks("") == []
