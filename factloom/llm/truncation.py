@@ -33,8 +33,9 @@ from factloom.llm.common import materialize
 STEP, SHOWN = 32, 48
 #: Characters at a value's end that tell whether it is finished.
 ENDING = 160
-#: A length is a limit of a source's field if at least LIMIT_ROWS different cut values and LIMIT_SHARE of them have it.
-LIMIT_ROWS, LIMIT_SHARE, MOST_LIMITS = 3, 0.08, 8
+#: A length is a limit of a source's field if at least LIMIT_ROWS different cut values have it, and twice as many, and SIGMAS
+#: deviations, as the lengths up to NEAR from it have on average (of which none counts for more than the length itself).
+LIMIT_ROWS, NEAR, SIGMAS = 3, 32, 8
 #: An ending is a cut if it ends a value in less than ENDS of its occurrences, of which there are at least SEEN.
 ENDS, SEEN = 0.12, 5
 #: A value of just a limit's length is whole if so many times as many unfinished values of other lengths end like it.
@@ -160,7 +161,7 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = len(text) // STEP * STEP
             prefix = _hash(field + text[:step])
             if ended == 2:
-                last, two, one = "", prefix, prefix  # no gram: only a longer copy can tell that it is cut
+                last, two, one = "", 0, 0  # only a longer copy can tell that it is cut
             else:
                 shown = without_closing(text[-200:])
                 tokens = grams(shown.lower() if shown.isupper() else shown)
@@ -230,7 +231,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _judge(frames):
     for f in frames:
-        yield f.loc[[not between(t, a) for t, a in zip(f["tail"], f["after"], strict=True)], ["row_id", "field"]]
+        yield f.loc[[not between(t, a) for t, a in zip(f["tail"], f["after"], strict=True)], ["row_id", "field", "source", "chars", "bytes", "prefix", "rest"]]
 
 
 def detect(records: DataFrame, fields: tuple[str, ...] = ("caption", "context"), key: str = "row_id", source: str = "source") -> DataFrame:
@@ -248,19 +249,23 @@ def detect(records: DataFrame, fields: tuple[str, ...] = ("caption", "context"),
     # one exchange serves both the removal of equal rungs and the join; copies of one text are mostly gone before it
     ladder = texts.select("field", "text").mapInArrow(_ladder, "prefix bigint, shown string").repartition("prefix").distinct()
     # strict prefixes of a longer copy
-    probes = values.select("row_id", "field", "prefix", "rest", "tail")
+    probes = values.select("row_id", "field", "source", "chars", "bytes", "prefix", "rest", "tail")
     longer = probes.join(ladder, "prefix").where(F.col("shown").startswith(F.col("rest")) & (F.length("shown") > F.length("rest")))
-    seen = longer.select("row_id", "field", "tail", F.expr("substr(shown, length(rest) + 1)").alias("after"))
-    prefixed = materialize(seen.mapInPandas(_judge, "row_id bigint, field string").distinct().withColumn("why", F.lit("prefix")))
-    known = values.join(prefixed, ["row_id", "field"], "left").where("ended < 2 or why is not null")
+    seen = longer.select("row_id", "field", "source", "chars", "bytes", "prefix", "rest", "tail", F.expr("substr(shown, length(rest) + 1)").alias("after"))
+    prefixed = materialize(seen.mapInPandas(_judge, "row_id bigint, field string, source string, chars int, bytes int, prefix bigint, rest string").distinct())
+    marked = prefixed.select("row_id", "field", F.lit("prefix").alias("why")).distinct()
+    known = values.where("ended < 2").join(marked, ["row_id", "field"], "left")
     # limits: lengths at which prefixes pile up
-    sizes = known.where("why is not null").select("source", "field", "prefix", "rest", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("x")).select("source", "field", "prefix", "rest", "x.unit", "x.size").distinct()
-    piled = sizes.groupBy("source", "field", "unit", "size").agg(F.count("*").alias("n"))
-    whole = Window.partitionBy("source", "field", "unit")
-    limits = piled.withColumn("all", F.sum("n").over(whole)).withColumn("rank", F.row_number().over(whole.orderBy(F.desc("n"), "size")))
-    limits = limits.where((F.col("n") >= LIMIT_ROWS) & (F.col("n") >= LIMIT_SHARE * F.col("all")) & (F.col("rank") <= MOST_LIMITS))
+    lengths = prefixed.select("source", "field", "prefix", "rest", "chars", "bytes").distinct().groupBy("source", "field", "chars", "bytes").agg(F.count("*").alias("n"))
+    # a value counts in the unit whose pile is higher: a limit in characters piles up at several lengths in bytes too
+    units = lengths.withColumn("c", F.sum("n").over(Window.partitionBy("source", "field", "chars"))).withColumn("b", F.sum("n").over(Window.partitionBy("source", "field", "bytes")))
+    unit = F.explode(F.array(F.when(F.col("c") >= F.col("b"), F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size"))), F.when(F.col("b") >= F.col("c"), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))))
+    piled = units.select("source", "field", "n", unit.alias("x")).where("x is not null").groupBy("source", "field", "x.unit", "x.size").agg(F.sum("n").alias("n"))
+    around = F.collect_list("n").over(Window.partitionBy("source", "field", "unit").orderBy("size").rangeBetween(-NEAR, NEAR))
+    limits = piled.withColumn("around", around).withColumn("usual", (F.aggregate("around", F.lit(0).cast("bigint"), lambda s, x: s + F.least(x, F.col("n"))) - F.col("n")) / (2 * NEAR))
+    limits = limits.where((F.col("n") >= LIMIT_ROWS) & (F.col("n") >= 2 * F.col("usual") + SIGMAS * F.sqrt("usual")))
     of = limits.groupBy("source", "field").agg(F.collect_list(F.when(F.col("unit") == "chars", F.col("size"))).alias("in_chars"), F.collect_list(F.when(F.col("unit") == "bytes", F.col("size"))).alias("in_bytes"))
-    at = F.coalesce(F.array_contains("in_chars", F.col("chars")), F.lit(False)) | F.coalesce(F.exists("in_bytes", lambda b: (F.col("bytes") <= b) & (F.col("bytes") > b - 4) & (F.col("bytes") > F.col("chars"))), F.lit(False))
+    at = F.coalesce(F.array_contains("in_chars", F.col("chars")), F.lit(False)) | F.coalesce(F.exists("in_bytes", lambda b: (F.col("bytes") == b) | (F.col("bytes") < b) & (F.col("bytes") > b - 4) & (F.col("bytes") > F.col("chars"))), F.lit(False))
     known = known.join(of, ["source", "field"], "left").withColumn("at_limit", at)
     of_ending = known.groupBy("two").agg(F.count_if("at_limit").alias("on_limit"), F.count_if(~F.col("at_limit")).alias("off_limit"))
     known = known.join(of_ending, "two")
@@ -273,7 +278,8 @@ def detect(records: DataFrame, fields: tuple[str, ...] = ("caption", "context"),
     goes_on = F.when(all2 >= SEEN, F.col("ends2") < ENDS * all2).when(F.col("number"), False).when(all1 >= SEEN, F.col("ends1") < ENDS * all1).otherwise(F.col("word") & (F.coalesce("goes1", F.lit(0)) == 0))
     usual = (F.col("off_limit") >= SEEN) & (F.col("off_limit") >= USUAL * F.col("on_limit"))
     why = F.coalesce("why", F.when(F.col("broken"), "broken"), F.when(F.col("at_limit") & ~usual, "limit"), F.when((F.col("ended") == 0) & F.coalesce(goes_on, F.lit(False)), "ending"))
-    return known.select("row_id", "field", "source", why.alias("why")).where("why is not null")
+    ended = values.where("ended = 2").select("row_id", "field", "source").join(marked, ["row_id", "field"])
+    return known.select("row_id", "field", "source", why.alias("why")).where("why is not null").unionByName(ended)
 
 
 def rates(found: DataFrame, records: DataFrame, fields: tuple[str, ...] = ("caption", "context"), source: str = "source") -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from factloom.llm import truncation as t
@@ -23,6 +25,17 @@ def test_limits_are_learnt(gold):
     assert {x for x in got if x[2] == "prefix"} == {(i, "caption", "prefix") for i in range(7, 13)} and (13, "caption", "limit") in got
 
 
+def test_many_limits_of_one_source(gold):
+    rng = random.Random(3)
+    made = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(120))
+    limits = range(60, 640, 41)  # 15 of them, each with a fifteenth of the cut values
+    copies = [(made(), n) for n in limits for _ in range(4)]
+    values = [x[: n - 1] + "e" + x[n:] + "." for x, n in copies] + [x[: n - 1] + "e" for x, n in copies] + [made()[: n - 1] + "e" for n in limits]
+    rows = [{"caption": x, "source": "s"} for x in values]
+    got = found(gold(*rows))
+    assert {(i, "caption", "limit") for i in range(121, 136)} <= got and {(i, "caption", "prefix") for i in range(61, 121)} <= got
+
+
 def test_prefix_that_looks_finished(gold):
     texts = [x + " and it was then shown to hold." for x in ("In the later and smaller study Sembaski et al. report a mixed ablation of the model", "The pool entries of the annotators were re-read ... and then kept", "The score of the new model rose by far (deeper range 70.2-78.8), etc., as in the rest", "Values are the mean over all of the runs (0.56)")]
     at = [texts[0].index(" report"), texts[1].index(".. and"), texts[2].index("8), etc"), texts[3].index("56)")]
