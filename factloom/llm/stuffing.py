@@ -22,6 +22,9 @@ LABELS = ("prose", "links", "tags", "menu")
 STRETCH = 24
 #: A word is repeated if the page has it REPEATED times (on pages of under SHORT words, twice) and it makes up REPEATED_SHARE of the page's words.
 REPEATED, REPEATED_SHARE, SHORT = 3, 0.012, 150
+#: Words below that share are repeated too, from twice on, if the page's words recur so many times on average and evenly (entropy against
+#: that of equal counts), or if those below the share do on a page where no more than ENDED_SHARE of the lines end with a final mark.
+RECURRING, EVEN, ENDED_SHARE = 3, 0.95, 0.2
 FLAGGED_SHARE = 0.5
 STAY = 0.85
 #: Edges of the feature bins, and P(bin | label) in the order of LABELS.
@@ -112,6 +115,14 @@ def _bin(value: float, edges: tuple[float, ...]) -> int:
     return sum([value >= e for e in edges])
 
 
+def piled(counts: list[int], words: int) -> bool:
+    """So many even counts are those of a pile of keywords, not of a text's rarer words, half of which stand there once."""
+    n = sum(counts)
+    if n < RECURRING * len(counts) or 2 * n < words:
+        return False
+    return math.log(n) - sum([c * math.log(c) for c in counts]) / n >= EVEN * math.log(len(counts))
+
+
 def features(lines: list[list[str]]) -> tuple[list[tuple[int, ...]], list[float]]:
     """The feature bins and the weight of every line."""
     get = _known.get
@@ -121,6 +132,11 @@ def features(lines: list[list[str]]) -> tuple[list[tuple[int, ...]], list[float]
     total = sum(counts.values())
     least = max(REPEATED if total >= SHORT else 2, REPEATED_SHARE * total)
     often = {w for w, n in counts.items() if n >= least}
+    if len(often) < len(counts):
+        words = sum(map(len, lines))
+        few_ended = sum([ENDED.search(line[-1]) is not None for line in lines]) <= ENDED_SHARE * len(lines)
+        if piled([*counts.values()], words) or few_ended and piled([n for n in counts.values() if n < least], words):
+            often = {w for w, n in counts.items() if n >= 2}
     out, weights = [], []
     for words, line in zip(lines, facts, strict=True):
         n = len(words)

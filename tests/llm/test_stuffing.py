@@ -39,6 +39,19 @@ def test_spam_and_lookalikes():
         assert sum(stuffing.shares(text)[0][1:]) <= 0.5, text[:80]
 
 
+def test_piles_of_many_even_keywords():
+    rng = random.Random(5)
+    names = ["".join(rng.choice("bcdfglmnprst" if k % 2 == 0 else "aeiou") for k in range(7)) for _ in range(300)]
+    for n in (90, 120, 300):
+        for times in (4, 40):
+            pile = [rng.choice(names[:n]) for _ in range(n * times)]
+            assert stuffing.shares(" ".join(pile))[0][0] < 0.5, (n, times)
+            assert stuffing.shares(" ".join(f"buy {w}" if i % 3 == 0 else w for i, w in enumerate(pile)))[0][0] < 0.5, (n, times)
+    zipf = [1 / (i + 1) for i in range(300)]
+    prose = " ".join(" ".join(rng.choices(names, zipf, k=12)).capitalize() + "." for _ in range(120))
+    assert stuffing.shares(prose)[0][0] > 0.5
+
+
 def test_odd_values(documents):
     spam, fine, _ = pages()
     df = documents(spam[0], None, "", " \n ", fine[0], spam[0], "one", spam[0] * 200).select("*", *[F.lit("q").alias(c) for c in ("k", "t", "prose", "stuffed")])
