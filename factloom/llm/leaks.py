@@ -48,11 +48,21 @@ LINKS = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]|\[([^\[\]]*)\]\([^()\s]
 REFERENCES = re.compile(r"\\(?:cite|label|ref)[a-z]*\*?\{[^{}]*\}")
 
 
-def plain(text: str) -> str:
-    """Without markup that may stand around or within a passage."""
+#: What may be such markup, the marks of templates and comments, and the texts that tags show.
+NOTED = re.compile(r"<ref\b|<!--|\{\{|!\[|\b(?:alt|title)\s*=\s*[\"']")
+MARKS = re.compile(r"<!--|-->|\{\{|\}\}|\|(?:\s*\w+\s*=)?")
+SHOWN = re.compile(r"\b(?:alt|title)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+
+
+def plain(text: str, notes: bool = False) -> str:
+    """Without markup that may stand around or within a passage. notes: footnotes, templates, comments and alternative texts lose only their marks."""
     if "&" in text:
         text = html.unescape(text)
-    if "<ref" in text or "{{" in text or "![" in text:
+    if notes:
+        if "{{" in text or "<!--" in text:
+            text = MARKS.sub(" ", LINKS.sub(lambda m: m[1] if m[1] is not None else m[2], text))
+        text = TAG.sub(lambda m: " " + " ".join(x or y for x, y in SHOWN.findall(m[0])) + " ", text)
+    elif "<ref" in text or "{{" in text or "![" in text:
         text = NOTES.sub(" ", text)
     if "[[" in text or "](" in text:
         text = LINKS.sub(lambda m: m[1] if m[1] is not None else m[2], text)
@@ -63,6 +73,11 @@ def plain(text: str) -> str:
     return text
 
 
+def readings(text: str) -> tuple[bool, ...]:
+    """Values of `notes` with which a document is read: a passage may go on around a note, or stand in one."""
+    return (False, True) if NOTED.search(html.unescape(text) if "&" in text else text) else (False,)
+
+
 def _word(raw: str) -> int:
     bare = NOISE.sub("", unicodedata.normalize("NFKC", raw).casefold())
     value = xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass")) or 1 if bare else 0
@@ -72,17 +87,17 @@ def _word(raw: str) -> int:
     return value
 
 
-def words(text: str) -> np.ndarray:
+def words(text: str, notes: bool = False) -> np.ndarray:
     """A hash for each word; words of punctuation only are left out."""
     get = _words.get
-    found = [get(x) if x in _words else _word(x) for x in plain(text).split()]
+    found = [get(x) if x in _words else _word(x) for x in plain(text, notes).split()]
     units = np.array(found, np.uint64)
     return units[units != 0]
 
 
-def letters(text: str) -> np.ndarray:
+def letters(text: str, notes: bool = False) -> np.ndarray:
     """The code points of all letters and digits."""
-    bare = NOISE.sub("", unicodedata.normalize("NFKC", plain(text)).casefold())
+    bare = NOISE.sub("", unicodedata.normalize("NFKC", plain(text, notes)).casefold())
     return np.frombuffer(bare.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
@@ -192,11 +207,12 @@ def _doc_prints(exact: dict[str, tuple[int, ...]]):
                 batch = whole.slice(lo, 2000)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 texts = batch.column(1).to_pylist()
-                spaceless = [i for i, t in enumerate(texts) if UNSPACED.search(t)]
+                read = [(i, notes) for i, t in enumerate(texts) for notes in readings(t)]
+                spaceless = [(i, notes) for i, notes in read if UNSPACED.search(texts[i])]
                 parts = []
-                for kind, rows, of in (("w", range(len(texts)), words), ("c", spaceless, letters)):
-                    owner, hashes, at = fingerprints([of(texts[i]) for i in rows], kind, exact.get(kind, ()))
-                    parts.append((np.array(rows, np.int64)[owner], hashes, at))
+                for kind, rows, of in (("w", read, words), ("c", spaceless, letters)):
+                    owner, hashes, at = fingerprints([of(texts[i], notes) for i, notes in rows], kind, exact.get(kind, ()))
+                    parts.append((np.array([i for i, _ in rows], np.int64)[owner], hashes, at))
                 rows, hashes, at = (np.concatenate([p[j] for p in parts]) for j in range(3))
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[rows.astype(np.int64)]), pa.array(at.astype(np.int32))], names=["hash", "doc_id", "doc_at"])
 
@@ -224,8 +240,9 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     continue
                 kind = c["kind"]
                 if kind not in streams:
-                    streams[kind] = (letters if kind == "c" else words)(text)
-                if longest_run(streams[kind], np.asarray(c["units"], np.int64).view(np.uint64), int(c["diagonal"])) >= c["need"]:
+                    streams[kind] = [(letters if kind == "c" else words)(text, notes) for notes in readings(text)]
+                units = np.asarray(c["units"], np.int64).view(np.uint64)
+                if any(longest_run(s, units, int(c["diagonal"])) >= c["need"] for s in streams[kind]):
                     done.add(c["text_id"])
                     out.append((c["text_id"], doc_id))
         yield pd.DataFrame(out, columns=["text_id", "doc_id"]).astype("int64")

@@ -59,6 +59,16 @@ def test_markup_within_the_record(gold, documents):
     assert leaks.leaked(g, documents(" ".join(words))).count() == 1
 
 
+def test_passages_within_notes(gold, documents):
+    words = [f"unit{i}" for i in range(36)]
+    passage, chars = " ".join(words), "".join(chr(0x4E00 + 7 * i) for i in range(70))
+    g = gold({"claim_id": "a", "context": passage}, {"claim_id": "z", "context": chars})
+    held = [f"b {{{{quote|{passage}}}}} d", f"b {{{{quote |text={passage}|by=x}}}} d", f"b<ref name='k'>{passage}</ref> d", f"b <!--{passage}--> d", f"b ![{passage}](f.png) d", f'b <img src="f.png" alt="{passage}"/> d', f"b &lt;!-- {passage} --&gt; d"]
+    around = " ".join(words[:15]) + "<ref>no. 4</ref> <!-- x y --> {{cite|k}} " + " ".join(words[15:])
+    got = {(r.claim_id, r.doc_id) for r in leaks.leaked(g, documents(*held, around, f"前{{{{引|{chars}}}}}后", f"b <!--{' '.join(words[:29])}--> d")).collect()}
+    assert got == {("a", i) for i in range(1, 9)} | {("z", 9)}
+
+
 def test_scripts_without_spaces(gold, documents):
     rng = random.Random(2)
     chars = "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(90))
