@@ -31,6 +31,8 @@ NEXT, TREE = 1, 5
 #: Texts without any of these have no segment that could be markup.
 TRIGGER = r"[<>&\\#*`\[\]{}|_~$^]|''|==|(?:^|\n)[ \t]*(?:[-+]|\d{1,3}[.)])[ \t]"
 COMMANDS = r"\\(?:[A-Za-z]+\*?(?:\[[^\[\]\n]*\])?|[()\[\]{}%&_#,;:!\\$])"
+#: What tells that dollar signs far apart hold a formula.
+FORMULA = r"(?:\\[A-Za-z]|\^|_\{|\b[A-Za-z]_[A-Za-z0-9]\b)"
 SEGMENT = re.compile(
     r"""
     (?P<fence>```[^\n`]*)
@@ -45,7 +47,12 @@ SEGMENT = re.compile(
   | (?P<template>\{\{[^{}]*(?:\}\}|$))
   | (?P<wikitable>\{\|[^\n]*|\|\}|(?m:^\s*\|-[^\n]*$)|(?m:^\s*[|!][^|\n]+(?:\|\|[^|\n]+)+$))
   | (?P<mathblock>\$\$[^$]+(?:\$\$|$))
-  | (?P<math>\$(?![\s\d])[^$\n]{1,200}?\$(?!\d)|\$\d*(?=[^$\n]{0,60}[\\^_{])[^$\n]{1,200}?\$(?!\d))
+  | (?P<math>\$(?![\s\d])[^$\n]{1,200}?\$(?!\d)|\$\d*(?=[^$\n]{0,60}[\\^_{])[^$\n]{1,200}?\$(?!\d)|\$(?![ \t\d])(?=[^$]*?"""
+    + FORMULA
+    + r""")(?:(?!\n[ \t]*\n)[^$])+\$(?!\d)|\$\d+(?=[^$]{0,60}?"""
+    + FORMULA
+    + r""")(?:(?!\n[ \t]*\n)[^$])+\$(?!\d))
+  | (?P<texmath>\\\((?:[^\\]|\\[^()])*\\\)|\\\[(?:[^\\]|\\[^\[\]])*\\\])
   | (?P<command>"""
     + COMMANDS
     + r""")
@@ -232,7 +239,8 @@ def _argument(text: str, at: int) -> tuple[str, int]:
 
 
 def clean(text: str | None) -> str | None:
-    """The text without its markup. Headings become `#` lines, items `- ` lines, code stays fenced or in backticks, formulas stand in $ or $$.
+    """The text without its markup. Headings become `#` lines, items `- ` lines, code stays fenced or in backticks, formulas stand in $ or $$,
+    or in their \\(...\\) or \\[...\\].
 
     A null stays null; a text without markup comes back unchanged.
     """
@@ -293,7 +301,7 @@ def clean(text: str | None) -> str | None:
                 out.append(s.strip(" |!").replace("||", "|"))
         elif kind == "row" and not re.search(r"[^\s|:-]", s):
             skip = b + (text[b : b + 1] == "\n")
-        elif kind in ("math", "mathblock", "code", "row"):
+        elif kind in ("math", "mathblock", "texmath", "code", "row"):
             out.append(s)
         elif kind == "script":
             out.append(re.sub(r"\\[A-Za-z]+|[{}$]", "", s))

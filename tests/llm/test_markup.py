@@ -39,6 +39,16 @@ def test_structure_is_kept():
     assert c(None) is None
 
 
+def test_formulas_stay_as_they_are():
+    c = markup.clean
+    long = "$" + " + ".join(f"\\alpha_{{{i}}} x^{{{i}}}" for i in range(40)) + "$"
+    plain = "$" + " + ".join(f"a_{i % 10} b" for i in range(40)) + "$"
+    for formula in ("\\(\\frac{a}{b}\\)", "\\[ x_{1} \\\\[2pt] \\text{if \\(y\\)} \\]", "\\[\n\\sum_{i} x_i\n\\]", "$\\alpha +\n\\beta_{2}$", "$2 \\alpha\n+ b$", long, plain):
+        assert c(f"a <b>x</b> {formula} y \\emph{{z}}") == f"a x {formula} y z"
+    assert c("costs $6\nand \\emph{x} for $7 \\(") == "costs $6\nand x for $7"
+    assert c("costs $6 and \\emph{x}\n\nfor US$ b") == "costs $6 and x\n\nfor US$ b"
+
+
 def test_minimum_cut_against_all_labellings():
     import itertools
     import random
