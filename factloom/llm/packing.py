@@ -4,7 +4,7 @@ Every document gets a vector of few dimensions: a signed random projection of it
 counts. The position of that vector on a Hilbert curve is the sort key, so that documents
 alike in wording stand near each other. The rows are range-sorted by (key, document), and
 each range is packed by best fit among neighbours: blocks of consecutive documents, largest
-first within a block. No range holds more than its share of equal keys, because the
+first within a block; the containers that a block leaves open are offered to the next ones. No range holds more than its share of equal keys, because the
 document's id breaks ties.
 """
 
@@ -86,10 +86,13 @@ def measured(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, curve bigint")
 
 
-def fit_block(sizes: list[int], capacity: int) -> list[int]:
-    """Container of each item, by best fit with the largest first; ties go to the earlier item."""
-    out, rooms, bins = [0] * len(sizes), [], []
-    opened = 0
+def fit_block(sizes: list[int], capacity: int, rooms: list[int] | None = None, bins: list[int] | None = None, opened: int = 0) -> list[int]:
+    """Container of each item, by best fit with the largest first; ties go to the earlier item.
+
+    rooms (ascending) and bins: the containers that earlier blocks left open; both are brought up to date. New ones are numbered from opened on.
+    """
+    out = [0] * len(sizes)
+    rooms, bins = [] if rooms is None else rooms, [] if bins is None else bins
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         at = bisect.bisect_left(rooms, sizes[i])
         if at < len(rooms):
@@ -125,6 +128,7 @@ def pack(docs: DataFrame, specs: DataFrame, path: str | None = None, partitions:
         from pyspark import TaskContext
 
         opened = {p: 0 for p in capacities}
+        open_rooms: dict[int, tuple[list[int], list[int]]] = {p: ([], []) for p in capacities}
         base = TaskContext.get().partitionId() << 40
 
         def block(ids: np.ndarray, sizes: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -134,9 +138,12 @@ def pack(docs: DataFrame, specs: DataFrame, path: str | None = None, partitions:
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 start = piece * capacity
                 size = np.minimum(capacity, np.repeat(sizes, pieces) - start)
-                container = np.array(fit_block(size.tolist(), capacity), np.int64)
-                yield pd.DataFrame({"pack_id": pack_id, "container": base + opened[pack_id] + container, "doc_id": doc, "piece": piece.astype(np.int32), "start_token": start, "n_tokens": size})
-                opened[pack_id] += int(container.max()) + 1
+                rooms, bins = open_rooms[pack_id]
+                container = np.array(fit_block(size.tolist(), capacity, rooms, bins, opened[pack_id]), np.int64)
+                full = bisect.bisect_right(rooms, 0)
+                del rooms[:full], bins[:full]
+                yield pd.DataFrame({"pack_id": pack_id, "container": base + container, "doc_id": doc, "piece": piece.astype(np.int32), "start_token": start, "n_tokens": size})
+                opened[pack_id] = max(opened[pack_id], int(container.max()) + 1)
 
         ids, sizes = np.empty(0, np.int64), np.empty(0, np.int64)
         for frame in frames:

@@ -92,3 +92,17 @@ def test_packing(documents, spark):
     assert {r.pack_id for r in rows} == {1, 2}
     assert packing.pack(df.limit(0), specs).count() == 0
     assert packing.summary(packed, specs).where("fill is not null").count() == 2
+
+
+def test_open_containers_go_on_into_the_next_block(documents, spark, monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(packing, "BLOCK", 10)
+    df = documents(*[" one" * rng.randint(1, 4) for _ in range(90)])
+    specs = spark.createDataFrame([(1, "byte_bpe_50k", 64)], "pack_id bigint, tokenizer string, capacity_tokens bigint")
+    filled = {}
+    for r in packing.pack(df, specs, partitions=1).collect():
+        filled[r.container] = filled.get(r.container, 0) + r.n_tokens
+    assert max(filled.values()) <= 64 and len(filled) > 1 and sum(n <= 32 for n in filled.values()) <= 1
+    rooms, bins = [], []
+    assert packing.fit_block([6, 5], 10, rooms, bins) == [0, 1] and packing.fit_block([4, 5, 9], 10, rooms, bins, 2) == [0, 1, 2]
+    assert rooms == [0, 0, 1]
