@@ -32,7 +32,7 @@ SUPPLEMENT = {
     "figure": r"(?i)\b(?:Figures?|Figs?\.?)\s+S\d+\b|\bsupplement(?:ary|al)?\s+(?:Figures?|Figs?\.?)\s+\d+\b",
 }
 ECHO = {"table": r"(?i)^Tables?\s*\d+\s*:", "figure": r"(?i)^(?:Figures?|Figs?\.?)\s*\d+\s*:"}
-ELECTRONIC = {"table": r"\be-?[Tt]ables?\b", "figure": r"\be-?[Ff]ig(?:ure)?s?\b"}
+ELECTRONIC = {"table": r"\be-?[Tt]ables?\b", "figure": r"\be-?[Ff]igures?\b"}
 LABEL_NUMBER = {"table": r"(?i)^table\s*(\d+)", "figure": r"(?i)^(?:Figures?|Figs?\.?)\s*(\d+)"}
 REFERENCE = r"(?i)\b(?:Tables?|Figs?\.?|Figures?)\s+S?\d+\b"
 CITED_CELL = r"(?i:\bet al\b)|[A-Z][a-zA-Z'\-]+(?:\s+(?:and|&)\s+[A-Z][a-zA-Z'\-]+)?\s*[\(\[]\d{4}[\)\]]"
@@ -211,6 +211,14 @@ def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def url_quote(c: Column) -> Column:
+    """Percent-encoded for a URL's path: letters, digits, `_.-~` and slashes stay."""
+    out = F.url_encode(c)
+    for found, put in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(found), F.lit(put))
+    return out
+
+
 def stem(path: Column) -> Column:
     """File name without its last extension; a name that starts with its only dot has none."""
     return F.regexp_replace(base_name(path), r"^(.+)\.[^.]*$", "$1")

@@ -82,6 +82,14 @@ def prompt(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*pieces)
 
 
+def routed_prompt(kind: Column, templates: dict[str, str], generic: str, values: dict[str, Column]) -> Column:
+    """The prompt of the row's kind of evidence; the generic one for a kind without its own, and for null."""
+    out = prompt(generic, values)
+    for name, text in templates.items():
+        out = F.when(kind.eqNullSafe(F.lit(name)), prompt(text, values)).otherwise(out)
+    return out
+
+
 def with_readings(rows: DataFrame, cache: DataFrame, paths: list[str]) -> DataFrame:
     """The cached text of each path column (`<path>_text`), null where there is none."""
     out = rows

@@ -25,6 +25,16 @@ def task1_records(perturbed: DataFrame, prefix: str = "") -> DataFrame:
     return rows.select("_r.claim_id", "claim", "evi_type", "context", "domain", "claim_id_pair", "_r.caption", "_r.label", "_r.operation", "_r.evi_path")
 
 
+def with_perturbations(claims: DataFrame, perturbed: DataFrame, keys: tuple[str, str] = ("pmcid", "sentence")) -> DataFrame:
+    """Every claim with its perturbation, joined on document and sentence; one without keeps nulls and gives a Supported record only.
+
+    perturbed: the keys, operation, perturbed_evidence, perturbed_caption; of several for one sentence the last by evidence counts.
+    """
+    kept = ("operation", "perturbed_evidence", "perturbed_caption")
+    last = perturbed.groupBy(*keys).agg(F.max_by(F.struct(*kept), F.struct("perturbed_evidence", "operation")).alias("_x")).select(*keys, "_x.*")
+    return claims.join(last, list(keys), "left")
+
+
 def evidence_sides(perturbed: DataFrame, prefix: str = "") -> DataFrame:
     """Task 2 records: which of the two places the true evidence takes is a coin that depends only on the record's id. Caption edits are left out."""
     rows = perturbed.where(~F.col("operation").eqNullSafe("Caption adjustments") & F.col("perturbed_evidence").isNotNull())

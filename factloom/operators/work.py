@@ -59,6 +59,11 @@ def remaining(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def shard_remaining(rows: DataFrame, main: DataFrame, shard: DataFrame, keys: list[str]) -> DataFrame:
+    """What a shard's process has left: rows that neither the main results nor the shard's own file have. Only the latter grows."""
+    return remaining(rows, main.select(*keys).union(shard.select(*keys)), keys)
+
+
 def process(rows: DataFrame, ledger_path: str, keys: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Do the work that the ledger (a parquet table) lacks, append it, and return the whole ledger. A second run does nothing."""
     spark = rows.sparkSession

@@ -213,7 +213,8 @@ def _readings(spark: SparkSession, d: str) -> DataFrame:
 
 
 PROMPT1 = "Claim: {claim}\nCaption: {caption}\nContext: {context}{advisor}"
-PROMPT2 = "Which evidence backs the claim?\nClaim: {claim}{first}{second}"
+PROMPT2 = {"figure": "Which figure backs the claim?\nClaim: {claim}{first}{second}"}
+GENERIC2 = "Which evidence backs the claim?\nClaim: {claim}{first}{second}"
 
 
 def advisor_prompt(spark: SparkSession, d: str) -> DataFrame:
@@ -223,10 +224,10 @@ def advisor_prompt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def advisor_prompt_pair(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "task2_gold").select("sample_id", "claim", "evidence_id_1", "evidence_id_2").distinct()
+    g = table(spark, d, "task2_gold").select("sample_id", "claim", "evi_type", "evidence_id_1", "evidence_id_2").distinct()
     rows = merge.with_readings(g, _readings(spark, d), ["evidence_id_1", "evidence_id_2"])
     values = {"claim": F.coalesce("claim", F.lit("")), "first": merge.advisor_block(F.col("evidence_id_1_text"), "Evidence 1"), "second": merge.advisor_block(F.col("evidence_id_2_text"), "Evidence 2")}
-    return rows.select("sample_id", merge.prompt(PROMPT2, values).alias("prompt"))
+    return rows.select("sample_id", merge.routed_prompt(F.col("evi_type"), PROMPT2, GENERIC2, values).alias("prompt"))
 
 
 # Work selection
@@ -312,7 +313,7 @@ def exclusion_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bucket_quota(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.col("section"), F.lit(1).alias("tables_in_body"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("section"), F.when(F.col("doc_id") % 11 != 0, F.when(F.col("doc_id") % 7 == 0, 0).otherwise(2)).alias("tables_in_body"))
     both = docs.withColumn("bucket", F.when(F.col("section") == "results", "a").otherwise("b")).select("doc_id", "bucket", "tables_in_body").union(docs.where("section in ('results', 'methods')").select("doc_id", F.lit("b"), "tables_in_body"))
     return corpus.quotas(both, [("a", 30), ("b", 50)], "doc_id", "bucket", "doc_id", excluded=docs.where("section = 'abstract'")).select("doc_id", "bucket")
 
@@ -324,8 +325,8 @@ def search_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def _listing(spark: SparkSession, d: str) -> DataFrame:
     version = F.when(F.col("row_id") % 3 == 0, 2).otherwise(1)
-    file = F.concat(F.regexp_replace("evi_path", r"^.*/", ""), F.lit(""))
-    key = F.concat("claim_id", F.lit("."), version.cast("string"), F.lit("/"), F.when(F.col("row_id") % 2 == 0, F.regexp_replace(file, r"\.png$", ".gif")).otherwise(file))
+    ending = F.when(F.col("row_id") % 5 == 0, ".tif").when(F.col("row_id") % 2 == 0, ".gif").otherwise(".png")
+    key = F.concat("claim_id", F.lit("."), version.cast("string"), F.lit("/"), F.regexp_replace(tx.base_name(F.col("evi_path")), F.lit(r"\.png$"), ending))
     return table(spark, d, "task1_gold").where("evi_path is not null").select("row_id", F.col("claim_id").alias("pmcid"), key.alias("key"))
 
 
@@ -376,13 +377,16 @@ def cell_edit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def column_scale(spark: SparkSession, d: str) -> DataFrame:
-    t = _tables(spark, d).withColumn("s", perturb.column_scale(F.col("table_values"), F.lit(""), F.lit(10.0))).where("s is not null")
-    return t.select("l_orderkey", F.col("s.column").alias("column_no"), F.array_join(F.transform(F.col("s.scaled"), lambda r: F.array_join(r, ",")), ";").alias("after"))
+    price = F.get(F.get("table_values", F.lit(0)), F.lit(2))
+    claim = F.when(F.col("l_orderkey") % 2 == 1, F.concat(F.lit("As Table 2 shows, the price was "), price, F.lit(" at first"))).otherwise("")
+    t = _tables(spark, d).withColumn("s", perturb.column_scale(F.col("table_values"), claim, F.lit(10.0))).where("s is not null")
+    return t.select("l_orderkey", F.col("s.column").alias("column_no"), "s.grounded", F.array_join(F.transform(F.col("s.scaled"), lambda r: F.array_join(r, ",")), ";").alias("after"))
 
 
 def row_swap(spark: SparkSession, d: str) -> DataFrame:
-    t = _tables(spark, d).withColumn("s", perturb.row_swap(F.col("table_values"), F.col("claim"), F.col("l_orderkey"))).where("s is not null")
-    return t.select("l_orderkey", "s.i", "s.j", F.array_join(F.transform(perturb.swap_rows(F.col("table_values"), F.col("s.i"), F.col("s.j")), lambda r: F.array_join(r, ",")), ";").alias("after"))
+    claim = F.concat("claim", F.when(F.col("l_orderkey") % 3 == 0, ", most of them in R line 2").otherwise(""))
+    t = _tables(spark, d).withColumn("s", perturb.row_swap(F.col("table_values"), claim, F.col("l_orderkey"))).where("s is not null")
+    return t.select("l_orderkey", "s.i", "s.j", "s.grounded", F.array_join(F.transform(perturb.swap_rows(F.col("table_values"), F.col("s.i"), F.col("s.j")), lambda r: F.array_join(r, ",")), ";").alias("after"))
 
 
 def caption_number(spark: SparkSession, d: str) -> DataFrame:
@@ -427,9 +431,9 @@ def holdout_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of each order, one a line: width and height from quantity and discount."""
+    """Boxes of each order, one a line: width and height from quantity and discount, confidence from the tax."""
     w, h = F.col("l_quantity") * 10, F.round(F.col("l_discount") * 1000) + 50
-    box = F.struct(F.col("l_linenumber").alias("n"), F.concat("l_returnflag", F.when(F.col("l_linenumber") % 3 == 0, F.col("l_linenumber").cast("string")).otherwise("")).alias("text"), F.lit(0.9).alias("conf"), (F.col("l_linenumber") * 8.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("l_linenumber") * 8.0 + w).alias("x1"), h.alias("y1"), w.alias("w"), h.alias("h"), F.lit(0.0).alias("cx"), (F.col("l_linenumber") * 40.0).alias("cy"))
+    box = F.struct(F.col("l_linenumber").alias("n"), F.concat("l_returnflag", F.when(F.col("l_linenumber") % 3 == 0, F.col("l_linenumber").cast("string")).otherwise("")).alias("text"), (F.lit(0.3) + F.col("l_tax")).alias("conf"), (F.col("l_linenumber") * 8.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("l_linenumber") * 8.0 + w).alias("x1"), h.alias("y1"), w.alias("w"), h.alias("h"), F.lit(0.0).alias("cx"), (F.col("l_linenumber") * 40.0).alias("cy"))
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
 
 
@@ -439,7 +443,7 @@ def swappable_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def category_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _boxes(spark, d).select("l_orderkey", F.explode(figures.category_pairs(F.col("boxes"))).alias("p")).select("l_orderkey", "p.i", "p.j")
+    return _boxes(spark, d).select("l_orderkey", F.explode(figures.category_pairs(figures.confident(F.col("boxes")))).alias("p")).select("l_orderkey", "p.i", "p.j")
 
 
 def size_caps(spark: SparkSession, d: str) -> DataFrame:
@@ -459,12 +463,14 @@ def decide_pair(spark: SparkSession, d: str) -> DataFrame:
     p = predictions1(spark, d)
     of = lambda run, name: p.where(F.col("run_name") == run).select("claim_id", F.col("pred_label").alias(name))
     rows = of("solo_reader", "one").join(of("two_step_reader", "two"), "claim_id")
-    decided = infer.decide_pair(F.col("one"), F.col("two"), F.lit(None).cast("string"))
+    last = F.ascii(F.right("claim_id", F.lit(1)))
+    joint = F.when(last % 3 == 0, "evidence_id_2").when(last % 3 == 1, "evidence_id_1")  # null for the rest: no joint answer could be read
+    decided = infer.decide_pair(F.col("one"), F.col("two"), joint)
     return rows.select("claim_id", decided.alias("x"), infer.needs_joint(F.col("one"), F.col("two")).alias("joint_call")).select("claim_id", "x.label", "x.mode", "joint_call")
 
 
 def decision_modes(spark: SparkSession, d: str) -> DataFrame:
-    return infer.mode_counts(decide_pair(spark, d).select("label", "mode", F.lit("evidence_id_1").alias("gold_label")))
+    return infer.mode_counts(decide_pair(spark, d).select("label", "mode", F.when(F.ascii(F.right("claim_id", F.lit(1))) % 2 == 0, "evidence_id_1").otherwise("evidence_id_2").alias("gold_label")))
 
 
 def formatted_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -484,7 +490,7 @@ def echo_inference(spark: SparkSession, d: str) -> DataFrame:
 
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("evi_path")
-    return table(spark, d, "task1_gold").where("evi_path is not null").select("row_id", tx.stem(p).alias("stem"), tx.extension(p).alias("extension"), tx.canonical_path(F.concat(F.lit("./"), F.regexp_replace(p, "/", "//"))).alias("path"), F.url_encode(F.concat(F.lit("a b/"), F.coalesce("operation", F.lit("")))).alias("encoded")).select("row_id", "stem", "extension", "path")
+    return table(spark, d, "task1_gold").where("evi_path is not null").select("row_id", tx.stem(p).alias("stem"), tx.extension(p).alias("extension"), tx.canonical_path(F.concat(F.lit("./"), F.regexp_replace(p, "/", "//"))).alias("path"), tx.url_quote(F.concat(F.lit("a b/"), F.coalesce("operation", F.lit("")))).alias("encoded"))
 
 
 def stream_resume(spark: SparkSession, d: str) -> DataFrame:

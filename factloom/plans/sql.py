@@ -63,7 +63,7 @@ SPAN_F = r"(?i)\b(?:Figures?|Figs?\.?)\s+S?\d+(?:\s*(?:,|and|-|–|to)\s*S?\d+)*
 OWN_T = r"""(regexp_matches({0}, '(?i)\bTables?\s+\d+\b') AND NOT regexp_matches({0}, '(?i)\bTables?\s+S\d+\b|\bsupplement(?:ary|al)?\s+Tables?\s+\d+\b')
   AND NOT regexp_matches({0}, '\be-?[Tt]ables?\b') AND NOT regexp_matches({0}, '(?i)^Tables?\s*\d+\s*:'))"""
 OWN_F = r"""(regexp_matches({0}, '(?i)\b(?:Figures?|Figs?\.?)\s+\d+\b') AND NOT regexp_matches({0}, '(?i)\b(?:Figures?|Figs?\.?)\s+S\d+\b|\bsupplement(?:ary|al)?\s+(?:Figures?|Figs?\.?)\s+\d+\b')
-  AND NOT regexp_matches({0}, '\be-?[Ff]ig(?:ure)?s?\b') AND NOT regexp_matches({0}, '(?i)^(?:Figures?|Figs?\.?)\s*\d+\s*:'))"""
+  AND NOT regexp_matches({0}, '\be-?[Ff]igures?\b') AND NOT regexp_matches({0}, '(?i)^(?:Figures?|Figs?\.?)\s*\d+\s*:'))"""
 COMPARES = r"""regexp_matches({0}, '(?i)\b(significant(ly)?|associat(ed|ion)|correlat(ed|ion)|compar(ed|ison)|higher|lower|greater|less than|more than|increase(d)?|decrease(d)?|outperform|versus|\bvs\.?\b|differ(ed|ence)?)\b')"""
 WORTHY = rf"""({WORDS} >= 8 AND (regexp_matches(regexp_replace({{0}}, '{SPAN_T}', '', 'g'), '\d') OR {COMPARES})
   AND (NOT regexp_matches({{0}}, '(?i)\b(see|refer(s|red)?\s+to)\b') OR {COMPARES}))"""
@@ -71,11 +71,55 @@ DIGITS = r"(SELECT string_agg(x, ',' ORDER BY i) FROM (SELECT x, min(i) AS i FRO
 NUM = r"-?\d[\d,]*(?:\.\d+)?"
 SPECIFIC = "(try_cast(replace(r, ',', '') AS DOUBLE) IS NOT NULL AND (contains(r, '.') OR abs(try_cast(replace(r, ',', '') AS DOUBLE)) >= 10) AND NOT (try_cast(replace(r, ',', '') AS DOUBLE) = floor(try_cast(replace(r, ',', '') AS DOUBLE)) AND try_cast(replace(r, ',', '') AS DOUBLE) BETWEEN 1900 AND 2099))"
 LISTING = r"""lst AS (SELECT row_id, claim_id AS pmcid, CASE WHEN row_id % 3 = 0 THEN 2 ELSE 1 END AS version,
-  claim_id || '.' || (CASE WHEN row_id % 3 = 0 THEN 2 ELSE 1 END) || '/' || (CASE WHEN row_id % 2 = 0 THEN regexp_replace(regexp_replace(evi_path, '^.*/', ''), '\.png$', '.gif') ELSE regexp_replace(evi_path, '^.*/', '') END) AS key FROM task1_gold WHERE evi_path IS NOT NULL AND claim_id IS NOT NULL)"""
+  claim_id || '.' || (CASE WHEN row_id % 3 = 0 THEN 2 ELSE 1 END) || '/' || regexp_replace(regexp_replace(evi_path, '^.*/', ''), '\.png$', CASE WHEN row_id % 5 = 0 THEN '.tif' WHEN row_id % 2 = 0 THEN '.gif' ELSE '.png' END) AS key FROM task1_gold WHERE evi_path IS NOT NULL AND claim_id IS NOT NULL)"""
 TABLES = """tb AS (SELECT l_orderkey, l_linenumber, row_number() OVER w - 1 AS i, l_returnflag || ' line ' || l_linenumber AS c0, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS c1, printf('%.2f', l_extendedprice) AS c2, CAST(l_quantity AS BIGINT) AS q,
   CAST(max(l_quantity) OVER (PARTITION BY l_orderkey) AS BIGINT) AS most FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag || ' line ' || l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), printf('%.2f', l_extendedprice)))"""
-BOXES = """bx AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY n, text, x1, h) - 1 AS i, * EXCLUDE (l_orderkey) FROM (SELECT l_orderkey, l_linenumber AS n,
-  l_returnflag || CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_linenumber AS VARCHAR) ELSE '' END AS text, l_linenumber * 8.0::DOUBLE AS x0, l_linenumber * 8.0::DOUBLE + l_quantity * 10 AS x1, l_quantity * 10 AS w, round(l_discount * 1000) + 50 AS h, l_linenumber * 40.0::DOUBLE AS cy FROM lineitem))"""
+REF = r"(?i)\b(?:Tables?|Figs?\.?|Figures?)\s+S?\d+\b"
+
+
+def _coin(seed: str) -> str:
+    return f"(CAST('0x' || substr(md5('{seed}|' || l_orderkey), 1, 8) AS BIGINT) / 4294967296::DOUBLE)"
+
+
+def _pick(options: str, seed: str) -> str:
+    return f"{options}[1 + CAST(floor({_coin(seed)} * len({options})) AS BIGINT)]"
+
+
+_ROWS = f"{TABLES}, t AS (SELECT l_orderkey, any_value(most) AS most, list({{'i': i, 'c0': c0, 'd': c1 || ',' || c2, 'c1': c1, 'c2': c2, 'q': q, 'n': l_linenumber}} ORDER BY i) AS rs FROM tb GROUP BY l_orderkey)"
+_LEAD = _pick("rs", "swap row")
+_PARTNERS = "list_filter(rs, lambda r: r.d <> lead.d)"
+_SWAPPED = "array_to_string(list_transform(rs, lambda r: r.c0 || ',' || CASE WHEN r.i = lead.i THEN partner.d WHEN r.i = partner.i THEN lead.d ELSE r.d END), ';')"
+_ROW_SWAP = f"""WITH {_ROWS}, l AS (SELECT *, list_filter(rs, lambda r: l_orderkey % 3 = 0 AND lower(r.c0) = 'r line 2')[1] AS named FROM t WHERE len(list_distinct(list_transform(rs, lambda r: r.d))) > 1),
+      p AS (SELECT *, coalesce(named, {_LEAD}) AS lead FROM l), x AS (SELECT *, {_pick(_PARTNERS, "swap partner")} AS partner FROM p)
+      SELECT l_orderkey, CAST(lead.i AS INT) AS i, CAST(partner.i AS INT) AS j, named IS NOT NULL AS grounded, {_SWAPPED} AS after FROM x"""
+_SCALED = "CAST(CAST(floor(r.q * f + 0.5::DOUBLE) AS BIGINT) AS VARCHAR)"
+_DRAWN = "value * greatest(0.01::DOUBLE, CASE WHEN w < 0.5 THEN 1 + (0.3::DOUBLE + k * 0.1::DOUBLE) * (1.0::DOUBLE + v * (1.4::DOUBLE - 1.0::DOUBLE)) ELSE 1 - (0.3::DOUBLE + k * 0.1::DOUBLE) * (1.0::DOUBLE + v * (1.4::DOUBLE - 1.0::DOUBLE)) END)"
+_PRINTS = f"list_transform(range(0, 12), lambda k: CASE places WHEN 0 THEN CAST(CAST(floor({_DRAWN} + 0.5::DOUBLE) AS BIGINT) AS VARCHAR) WHEN 1 THEN printf('%.1f', {_DRAWN}) ELSE printf('%.2f', {_DRAWN}) END)"
+_PERTURBED = f"""WITH {_ROWS}, u AS (SELECT *, {_coin("operation")} AS u, {_coin("side")} AS w, {_coin("size")} AS v,
+        {_pick("[10.0::DOUBLE, 100.0, 0.1, 0.01, 2.0, 0.5, 5.0, 0.2]", "factor")} AS f,
+        flatten(list_transform(rs, lambda r: [{{'i': r.i, 'j': 0, 'value': r.n::DOUBLE, 'raw': r.n::VARCHAR}}, {{'i': r.i, 'j': 1, 'value': r.q::DOUBLE, 'raw': r.c1}}, {{'i': r.i, 'j': 2, 'value': r.c2::DOUBLE, 'raw': r.c2}}])) AS cells FROM t),
+      o AS (SELECT *, CASE WHEN u < 0.25 AND len(list_distinct(list_transform(rs, lambda r: r.d))) > 1 THEN 'Swap rows or columns'
+        WHEN u >= 0.25 AND u < 0.4 AND len(list_filter(rs, lambda r: {_SCALED} <> r.c1)) > 0 THEN 'Value scaling'
+        WHEN u >= 0.4 AND u < 0.5 THEN 'Caption adjustments' ELSE 'Change the cell values' END AS operation, {_LEAD} AS lead FROM u),
+      c AS (SELECT *, CASE WHEN operation = 'Swap rows or columns' THEN {_pick(_PARTNERS, "swap partner")} END AS partner,
+        CASE WHEN operation = 'Change the cell values' THEN coalesce(list_filter(cells, lambda c: c.j = 1 AND c.value = most AND most >= 10)[1], {_pick("cells", "cell")}) END AS cell FROM o),
+      d AS (SELECT *, coalesce(cell.raw, most || '.5') AS raw, coalesce(cell.value, most + 0.5::DOUBLE) AS value, CASE WHEN cell IS NULL THEN 1 WHEN cell.j = 2 THEN 2 ELSE 0 END AS places FROM c),
+      e AS (SELECT *, list_filter({_PRINTS}, lambda x: x <> raw)[1] AS new FROM d)
+      SELECT l_orderkey, operation, CASE operation WHEN 'Value scaling' THEN most >= 10 WHEN 'Change the cell values' THEN most >= 10 ELSE false END AS grounded,
+        CASE operation WHEN 'Swap rows or columns' THEN {_SWAPPED}
+          WHEN 'Value scaling' THEN array_to_string(list_transform(rs, lambda r: r.c0 || ',' || {_SCALED} || ',' || r.c2), ';')
+          WHEN 'Caption adjustments' THEN array_to_string(list_transform(rs, lambda r: r.c0 || ',' || r.d), ';')
+          ELSE array_to_string(list_transform(rs, lambda r: CASE WHEN r.i = cell.i AND cell.j = 0 THEN left(r.c0, 1) || ' line ' || new ELSE r.c0 END || ',' || CASE WHEN r.i = cell.i AND cell.j = 1 THEN new ELSE r.c1 END || ',' || CASE WHEN r.i = cell.i AND cell.j = 2 THEN new ELSE r.c2 END), ';') END AS after,
+        CASE WHEN operation = 'Caption adjustments' THEN 'Table 3. Quantities of order, total ' || new || ' units' END AS perturbed_caption FROM e"""
+_VALUE = "try_cast(replace(raws[k + 1], ',', '') AS DOUBLE)"
+_CAPTION_NUMBER = rf"""WITH m AS (SELECT row_id, caption, claim, regexp_replace(caption, '{REF}', '', 'g') AS masked FROM task1_gold WHERE caption IS NOT NULL),
+      g AS (SELECT *, regexp_extract_all(masked, '{NUM}', 0) AS raws, string_split_regex(masked, '{NUM}') AS gaps, len(regexp_extract_all(caption, '{NUM}', 0)) AS n,
+        list_transform(list_filter(regexp_extract_all(regexp_replace(coalesce(claim, ''), '{REF}', '', 'g'), '{NUM}', 0), lambda r: {SPECIFIC}), lambda r: try_cast(replace(r, ',', '') AS DOUBLE)) AS targets FROM m),
+      f AS (SELECT *, list_filter(range(0, len(raws)), lambda k: {SPECIFIC.replace("(r, ", "(raws[k + 1], ")} AND NOT regexp_matches(right(gaps[k + 1], 1), '[A-Za-z]') AND NOT regexp_matches(left(gaps[k + 2], 1), '[A-Za-z]')) AS fit FROM g),
+      h AS (SELECT *, list_filter(fit, lambda k: len(list_filter(targets, lambda x: abs({_VALUE} - x) < 1e-6)) > 0)[1] AS hit FROM f WHERE len(fit) > 0)
+      SELECT row_id, CAST(coalesce(hit, fit[1]) + CASE WHEN regexp_matches(caption, '(?i)^{REF[4:]}') THEN n - len(raws) ELSE 0 END AS INT) AS k, raws[coalesce(hit, fit[1]) + 1] AS raw, hit IS NOT NULL AS grounded FROM h"""
+BOXES = """bx AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY n, text, conf, x1, h) - 1 AS i, * EXCLUDE (l_orderkey) FROM (SELECT l_orderkey, l_linenumber AS n,
+  l_returnflag || CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_linenumber AS VARCHAR) ELSE '' END AS text, l_linenumber * 8.0::DOUBLE AS x0, l_linenumber * 8.0::DOUBLE + l_quantity * 10 AS x1, l_quantity * 10 AS w, round(l_discount * 1000) + 50 AS h, l_linenumber * 40.0::DOUBLE AS cy, 0.3::DOUBLE + l_tax AS conf FROM lineitem))"""
 
 
 def _near(a: str, b: str, k: str, t: float) -> str:
@@ -131,8 +175,8 @@ def oracle_sql() -> dict[str, str]:
         "merge_shards": "SELECT run_name, claim_id, pred_label, predicted_at, 0 AS shard FROM task1_pred WHERE run_name = 'two_step_reader' UNION ALL SELECT run_name, claim_id, pred_label, predicted_at, 1 FROM task1_pred WHERE run_name = 'solo_reader' UNION ALL SELECT run_name, claim_id, pred_label, NULL, 2 FROM task1_pred WHERE run_name = 'solo_reader'",
         "advisor_prompt": f"""WITH {READINGS} SELECT row_id, 'Claim: ' || coalesce(claim, '') || chr(10) || 'Caption: ' || coalesce(caption, 'N/A') || chr(10) || 'Context: ' || coalesce(nullif(context, ''), 'N/A') || CASE WHEN coalesce(text, '') <> '' THEN chr(10) || chr(10) || 'Advisor reading:' || chr(10) || text ELSE '' END AS prompt
           FROM task1_gold LEFT JOIN rd ON rd.image_path = evi_path""",
-        "advisor_prompt_pair": f"""WITH {READINGS} SELECT sample_id, 'Which evidence backs the claim?' || chr(10) || 'Claim: ' || coalesce(claim, '') || CASE WHEN coalesce(x.text, '') <> '' THEN chr(10) || chr(10) || 'Evidence 1:' || chr(10) || x.text ELSE '' END || CASE WHEN coalesce(y.text, '') <> '' THEN chr(10) || chr(10) || 'Evidence 2:' || chr(10) || y.text ELSE '' END AS prompt
-          FROM (SELECT DISTINCT sample_id, claim, evidence_id_1, evidence_id_2 FROM task2_gold) g LEFT JOIN rd x ON x.image_path = evidence_id_1 LEFT JOIN rd y ON y.image_path = evidence_id_2""",
+        "advisor_prompt_pair": f"""WITH {READINGS} SELECT sample_id, CASE WHEN evi_type = 'figure' THEN 'Which figure backs the claim?' ELSE 'Which evidence backs the claim?' END || chr(10) || 'Claim: ' || coalesce(claim, '') || CASE WHEN coalesce(x.text, '') <> '' THEN chr(10) || chr(10) || 'Evidence 1:' || chr(10) || x.text ELSE '' END || CASE WHEN coalesce(y.text, '') <> '' THEN chr(10) || chr(10) || 'Evidence 2:' || chr(10) || y.text ELSE '' END AS prompt
+          FROM (SELECT DISTINCT sample_id, claim, evi_type, evidence_id_1, evidence_id_2 FROM task2_gold) g LEFT JOIN rd x ON x.image_path = evidence_id_1 LEFT JOIN rd y ON y.image_path = evidence_id_2""",
         "resume_remaining": f"WITH {HELD} SELECT row_id, claim_id FROM held WHERE NOT EXISTS (SELECT 1 FROM task1_pred p WHERE p.claim_id = held.claim_id AND run_name = 'solo_reader')",
         "stride_shard": "SELECT row_id, claim_id FROM (SELECT row_id, claim_id, row_number() OVER (ORDER BY row_id) - 1 AS k FROM task1_gold) WHERE k % 4 = 1",
         "shard_then_resume": f"""WITH {HELD}, s AS (SELECT row_id, claim_id, row_number() OVER (ORDER BY row_id) - 1 AS k FROM held WHERE lower(trim(evi_type)) = 'figure')
@@ -153,11 +197,11 @@ def oracle_sql() -> dict[str, str]:
         "exclusion_list": r"""WITH p AS (SELECT coalesce(nullif(paper_id, ''), nullif(regexp_extract(paper_path, 'peerj_(\d+)\.json$', 1), '')) AS id FROM task1_gold WHERE lower(trim(domain)) = 'peerj' UNION ALL SELECT coalesce(nullif(paper_id, ''), nullif(regexp_extract(paper_path, 'peerj_(\d+)\.json$', 1), '')) FROM task2_gold WHERE lower(trim(domain)) = 'peerj')
           SELECT DISTINCT id FROM p WHERE id IN (SELECT paper_id FROM documents)""",
         "bucket_quota": """WITH d AS (SELECT doc_id, CASE WHEN section = 'results' THEN 'a' ELSE 'b' END AS bucket FROM documents UNION ALL SELECT doc_id, 'b' FROM documents WHERE section IN ('results', 'methods')),
-          o AS (SELECT DISTINCT * FROM d WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE section = 'abstract')), a AS (SELECT doc_id, bucket FROM o WHERE bucket = 'a' ORDER BY doc_id LIMIT 30), b AS (SELECT doc_id, bucket FROM o WHERE bucket = 'b' AND doc_id NOT IN (SELECT doc_id FROM a) ORDER BY doc_id LIMIT 50) SELECT * FROM a UNION ALL SELECT * FROM b""",
+          o AS (SELECT DISTINCT * FROM d WHERE doc_id % 11 <> 0 AND doc_id % 7 <> 0 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE section = 'abstract')), a AS (SELECT doc_id, bucket FROM o WHERE bucket = 'a' ORDER BY doc_id LIMIT 30), b AS (SELECT doc_id, bucket FROM o WHERE bucket = 'b' AND doc_id NOT IN (SELECT doc_id FROM a) ORDER BY doc_id LIMIT 50) SELECT * FROM a UNION ALL SELECT * FROM b""",
         "search_documents": "SELECT doc_id, source AS licence FROM documents WHERE source IN ('openshelf_bulk', 'tovl_mirror') AND contains(lower(text), 'replay buffer') ORDER BY doc_id LIMIT 25",
         "latest_version": f"WITH {LISTING} SELECT row_id, pmcid, version, key FROM (SELECT *, max(version) OVER (PARTITION BY pmcid) AS m FROM lst) WHERE version = m",
         "best_file": rf"""WITH {LISTING}, w AS (SELECT DISTINCT claim_id AS pmcid, regexp_replace(evi_path, '^.*/', '') AS graphic FROM task1_gold WHERE evi_path IS NOT NULL)
-          SELECT pmcid, graphic, key FROM (SELECT w.pmcid, graphic, key, row_number() OVER (PARTITION BY w.pmcid, graphic ORDER BY CASE WHEN key LIKE '%.png' THEN 3 WHEN key LIKE '%.gif' THEN 4 ELSE 9 END, row_id) AS k FROM w JOIN lst ON w.pmcid = lst.pmcid AND regexp_replace(graphic, '\.[^.]*$', '') = regexp_replace(regexp_replace(key, '^.*/', ''), '\.[^.]*$', '')) WHERE k = 1""",
+          SELECT pmcid, graphic, key FROM (SELECT w.pmcid, graphic, key, row_number() OVER (PARTITION BY w.pmcid, graphic ORDER BY CASE WHEN key LIKE '%.png' THEN 3 WHEN key LIKE '%.tif' THEN 4 WHEN key LIKE '%.gif' THEN 6 ELSE 9 END, row_id) AS k FROM w JOIN lst ON w.pmcid = lst.pmcid AND regexp_replace(graphic, '\.[^.]*$', '') = regexp_replace(regexp_replace(key, '^.*/', ''), '\.[^.]*$', '')) WHERE k = 1""",
         "extract_numbers": f"SELECT row_id, array_to_string(regexp_extract_all(claim, '{NUM}', 0), ' ') AS raws, CAST(len(list_filter(regexp_extract_all(claim, '{NUM}', 0), lambda r: {SPECIFIC})) AS BIGINT) AS n_specific FROM task1_gold",
         "claim_targets": rf"""WITH n AS (SELECT row_id, unnest(list_filter(regexp_extract_all(regexp_replace(claim, '(?i)\b(?:Tables?|Figs?\.?|Figures?)\s+S?\d+\b', '', 'g'), '{NUM}', 0), lambda r: {SPECIFIC})) AS r FROM task1_gold) SELECT DISTINCT row_id, round(try_cast(replace(r, ',', '') AS DOUBLE), 6) AS target FROM n""",
         "cell_kinds": rf"""WITH c AS (SELECT image_path, unnest(string_split(text, ' | ')) AS cell FROM advisor_cache) SELECT image_path, count(*) FILTER (regexp_matches(cell, '(?i:\bet al\b)|[A-Z][a-zA-Z''\-]+(?:\s+(?:and|&)\s+[A-Z][a-zA-Z''\-]+)?\s*[\(\[]\d{{4}}[\)\]]')) AS citations, count(*) FILTER (regexp_matches(cell, '^\s*<?\s*0?\.\d+\s*$')) AS p_values,
@@ -167,7 +211,12 @@ def oracle_sql() -> dict[str, str]:
           r AS (SELECT tb.*, hit.i AS h FROM tb LEFT JOIN hit USING (l_orderkey))
           SELECT l_orderkey, CAST(CASE WHEN any_value(h) IS NULL THEN CAST(min(l_linenumber) * 3 AS VARCHAR) ELSE CAST(any_value(most) * 3 AS VARCHAR) END AS VARCHAR) AS new, any_value(h) IS NOT NULL AS grounded,
             string_agg((CASE WHEN h IS NULL AND i = 0 THEN left(c0, 1) || ' line ' || CAST(l_linenumber * 3 AS VARCHAR) ELSE c0 END) || ',' || (CASE WHEN i = h THEN CAST(q * 3 AS VARCHAR) ELSE c1 END) || ',' || c2, ';' ORDER BY i) AS after FROM r GROUP BY l_orderkey""",
-        "column_scale": f"WITH {TABLES} SELECT l_orderkey, 1 AS column_no, string_agg(c0 || ',' || CAST(q * 10 AS VARCHAR) || ',' || c2, ';' ORDER BY i) AS after FROM tb GROUP BY l_orderkey",
+        "column_scale": f"""WITH {TABLES}, p AS (SELECT l_orderkey, l_orderkey % 2 = 1 AND NOT (c2 LIKE '%.00' AND c2::DOUBLE BETWEEN 1900 AND 2099) AS by_price FROM tb WHERE i = 0)
+          SELECT l_orderkey, CASE WHEN any_value(by_price) THEN 2 ELSE 1 END AS column_no, any_value(by_price) AS grounded,
+          string_agg(c0 || ',' || CASE WHEN by_price THEN c1 || ',' || printf('%.2f', c2::DOUBLE * 10) ELSE CAST(q * 10 AS VARCHAR) || ',' || c2 END, ';' ORDER BY i) AS after FROM tb JOIN p USING (l_orderkey) GROUP BY l_orderkey""",
+        "row_swap": _ROW_SWAP,
+        "caption_number": _CAPTION_NUMBER,
+        "perturbed_tables": _PERTURBED,
         "training_pairs": """WITH p AS (SELECT claim_id || '_' || row_id AS pair, * FROM task1_gold) SELECT pair || '_s' AS claim_id, 'Supported' AS label, pair AS claim_id_pair, caption, 'Supported_claim_only' AS operation, evi_path FROM p
           UNION ALL SELECT pair || '_r', 'Refuted', pair, coalesce(CASE WHEN operation = 'Caption adjustments' THEN upper(caption) END, caption), operation, 'perturbed/' || evi_path FROM p WHERE operation <> 'Supported_claim_only' AND evi_path IS NOT NULL""",
         "evidence_side": """WITH p AS (SELECT 'fig_' || claim_id || '_' || row_id AS sample_id, evi_path AS t, 'perturbed/' || evi_path AS f FROM task1_gold WHERE operation <> 'Supported_claim_only' AND operation <> 'Caption adjustments' AND evi_path IS NOT NULL), e AS (SELECT *, contains('02468ace', substr(sha256(sample_id), 2, 1)) AS even FROM p)
@@ -175,17 +224,18 @@ def oracle_sql() -> dict[str, str]:
         "training_union": "SELECT 'task1' AS kind, 0 AS part, label, count(*) AS n, count(operation) AS n_operation FROM task1_gold GROUP BY label UNION ALL SELECT 'task2', 1, label, count(*), 0 FROM task2_gold GROUP BY label",
         "holdout_split": "SELECT row_id, claim_id_pair FROM task1_gold WHERE claim_id_pair IN (SELECT claim_id_pair FROM (SELECT DISTINCT claim_id_pair FROM task1_gold WHERE claim_id_pair IS NOT NULL) ORDER BY sha256('42:' || claim_id_pair), claim_id_pair LIMIT 100)",
         "swappable_pairs": f"WITH {BOXES}, z AS (SELECT l_orderkey, i, CAST(trunc(x1) - trunc(x0) AS DOUBLE) AS w, CAST(trunc(h) AS DOUBLE) AS h FROM bx) SELECT a.l_orderkey, CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j FROM z a JOIN z b ON a.l_orderkey = b.l_orderkey AND a.i < b.i AND {_near('a', 'b', 'w', 0.15)} AND {_near('a', 'b', 'h', 0.15)}",
-        "category_pairs": rf"""WITH {BOXES}, z AS (SELECT * FROM bx WHERE NOT regexp_matches(text, '^\d+$')) SELECT a.l_orderkey, CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j FROM z a JOIN z b ON a.l_orderkey = b.l_orderkey AND a.i < b.i AND lower(a.text) <> lower(b.text) AND {_near('a', 'b', 'h', 0.2)} AND {_near('a', 'b', 'w', 0.3)} AND (abs(a.cy - b.cy) <= 12 OR abs(a.x0 - b.x0) <= 12)""",
+        "category_pairs": rf"""WITH {BOXES}, f AS (SELECT * EXCLUDE (i), row_number() OVER (PARTITION BY l_orderkey ORDER BY i) - 1 AS i FROM bx WHERE conf >= 0.35::DOUBLE), z AS (SELECT * FROM f WHERE NOT regexp_matches(text, '^\d+$')) SELECT a.l_orderkey, CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j FROM z a JOIN z b ON a.l_orderkey = b.l_orderkey AND a.i < b.i AND lower(a.text) <> lower(b.text) AND {_near('a', 'b', 'h', 0.2)} AND {_near('a', 'b', 'w', 0.3)} AND (abs(a.cy - b.cy) <= 12 OR abs(a.x0 - b.x0) <= 12)""",
         "size_caps": "WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity * 100 AS h, l_extendedprice / 10 + 1 AS w FROM lineitem) SELECT l_orderkey, l_linenumber, round(least(1.0, 2048.0 / greatest(h, w)), 6) AS by_side, round(least(1.0, sqrt(3e6 / (h * w))), 6) AS by_pixels, round(least(1536 / h, 1240 / w, 1.0), 6) AS by_box FROM s",
         "table_layout": f"WITH {TABLES} SELECT l_orderkey, least(max(length(c0)), 40) || ',' || least(max(length(c1)), 40) || ',' || least(max(length(c2)), 40) AS widths FROM tb GROUP BY l_orderkey",
         "decide_pair": f"""WITH {P1}, r AS (SELECT x.claim_id, x.pred_label IS NOT DISTINCT FROM 'Supported' AS a, y.pred_label IS NOT DISTINCT FROM 'Supported' AS b FROM p1 x JOIN p1 y ON x.claim_id = y.claim_id AND x.run_name = 'solo_reader' AND y.run_name = 'two_step_reader')
-          SELECT claim_id, CASE WHEN a AND NOT b THEN 'evidence_id_1' WHEN b AND NOT a THEN 'evidence_id_2' ELSE 'evidence_id_1' END AS label, CASE WHEN a <> b THEN 'decisive' ELSE 'fallback' END AS mode, a = b AS joint_call FROM r""",
-        "decision_modes": f"""WITH {P1}, r AS (SELECT x.pred_label IS NOT DISTINCT FROM 'Supported' AS a, y.pred_label IS NOT DISTINCT FROM 'Supported' AS b FROM p1 x JOIN p1 y ON x.claim_id = y.claim_id AND x.run_name = 'solo_reader' AND y.run_name = 'two_step_reader')
-          SELECT CASE WHEN a <> b THEN 'decisive' ELSE 'fallback' END AS mode, count(*) AS n, count(*) FILTER (NOT (b AND NOT a)) AS right FROM r GROUP BY 1""",
+          SELECT claim_id, CASE WHEN a AND NOT b THEN 'evidence_id_1' WHEN b AND NOT a THEN 'evidence_id_2' WHEN ascii(right(claim_id, 1)) % 3 = 0 THEN 'evidence_id_2' ELSE 'evidence_id_1' END AS label, CASE WHEN a <> b THEN 'decisive' ELSE 'fallback' END AS mode, a = b AS joint_call FROM r""",
+        "decision_modes": f"""WITH {P1}, r AS (SELECT x.claim_id, x.pred_label IS NOT DISTINCT FROM 'Supported' AS a, y.pred_label IS NOT DISTINCT FROM 'Supported' AS b FROM p1 x JOIN p1 y ON x.claim_id = y.claim_id AND x.run_name = 'solo_reader' AND y.run_name = 'two_step_reader'),
+          d AS (SELECT claim_id, a <> b AS decisive, CASE WHEN a AND NOT b THEN 1 WHEN b AND NOT a THEN 2 WHEN ascii(right(claim_id, 1)) % 3 = 0 THEN 2 ELSE 1 END AS label, CASE WHEN ascii(right(claim_id, 1)) % 2 = 0 THEN 1 ELSE 2 END AS gold FROM r)
+          SELECT CASE WHEN decisive THEN 'decisive' ELSE 'fallback' END AS mode, count(*) AS n, count(*) FILTER (label = gold) AS right FROM d GROUP BY 1""",
         "formatted_scores": f"WITH {A2} SELECT run_name, printf('%.1f', floor(count(*) FILTER (label = pred_label) * 1.0 / count(*) * 1000) / 1000 * 100) AS accuracy FROM a2 GROUP BY run_name",
         "figure_classes": "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(json_extract(props, '$.k') AS INT) END AS num_panels, CASE WHEN event_id % 5 <> 0 THEN event_type ELSE 'parse_error' END AS type, CASE WHEN event_id % 5 <> 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM events",
         "echo_inference": r"SELECT row_id, regexp_replace(regexp_replace(claim, '\s+', ' ', 'g'), '\s+$', '') AS answer, CAST(NULL AS VARCHAR) AS error FROM task1_gold WHERE claim IS NOT NULL",
-        "path_parts": r"SELECT row_id, regexp_replace(regexp_replace(evi_path, '^.*/', ''), '\.[^.]*$', '') AS stem, '.' || regexp_extract(evi_path, '\.([^.]*)$', 1) AS extension, evi_path AS path FROM task1_gold WHERE evi_path IS NOT NULL",
+        "path_parts": r"SELECT row_id, regexp_replace(regexp_replace(evi_path, '^.*/', ''), '\.[^.]*$', '') AS stem, '.' || regexp_extract(evi_path, '\.([^.]*)$', 1) AS extension, evi_path AS path, 'a%20b/' || replace(url_encode(coalesce(operation, '')), '%2F', '/') AS encoded FROM task1_gold WHERE evi_path IS NOT NULL",
         "stream_resume": "SELECT run_name, claim_id, predicted_at, upper(left(pred_label, 1)) || lower(substr(pred_label, 2)) AS label FROM task1_pred",
     }
     return out

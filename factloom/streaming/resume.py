@@ -27,14 +27,17 @@ def run_available(
     Each batch is written under its number, replacing what a broken-off attempt at the same batch left: every input file
     counts exactly once, however often the run is killed.
     """
+    rows_in = 0
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(format).load(source)
 
     def write(batch: DataFrame, number: int) -> None:
+        nonlocal rows_in
+        rows_in += batch.count()  # the query's own progress reports are kept for the last batches only
         work(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    return rows_in
 
 
 def results(spark: SparkSession, target: str, schema: T.StructType | None = None) -> DataFrame:

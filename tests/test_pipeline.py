@@ -21,6 +21,8 @@ def test_files_and_versions(spark):
     assert sorted(r.key for r in newest.collect()) == ["P1.2/f1.gif", "P1.2/f1.jpg"]
     wanted = spark.createDataFrame([("P1", "f1.tif")], "pmcid string, graphic string")
     assert corpus.best_file(wanted, newest, ["pmcid"], "n").first().key == "P1.2/f1.jpg"
+    three = spark.createDataFrame([("P1", "P1.2/f1.gif", 1), ("P1", "P1.2/f1.tiff", 2), ("P1", "P1.2/f1.tif", 3)], "pmcid string, key string, n int")
+    assert corpus.best_file(wanted, three, ["pmcid"], "n").first().key == "P1.2/f1.tif"
 
 
 def test_mining(spark):

@@ -47,14 +47,25 @@ def test_perturbation_ignores_partitioning(spark):
     assert key(df.repartition(1)) == key(df.repartition(7))
 
 
-def test_redraw():
-    rng = np.random.default_rng(1)
-    for _ in range(50):
-        assert float(perturb.redraw(0.03, "0.03", "0.03", rng)) >= 0.05
-        assert float(perturb.redraw(0.4, "0.40", "0.40", rng).strip("<")) < 0.05
-        assert 2000 <= int(perturb.redraw(2015, "2015", "2015-2020", rng)) <= 2030
-        assert float(perturb.redraw(100, "100", "100%", rng)) < 100
-        assert perturb.redraw(0, "0", "0", rng) != "0" and perturb.redraw(1, "1", "1", rng) != "1"
+def test_redrawn(spark):
+    cases = [(0.03, "0.03", "0.03"), (0.4, "0.40", "0.40"), (2015.0, "2015", "2015-2020"), (100.0, "100", "100%"), (99.8, "99.8", "99.8%"), (0.0, "0", "0"), (0.0, "0", "0%"), (1.0, "1", "1"), (-2.0, "-2", "-2 kg"), (12.5, "12.5", None)]
+    df = spark.createDataFrame([(i, *c) for i in range(200) for c in cases], "id int, value double, raw string, cell string")
+    new = perturb.redrawn(F.col("value"), F.col("raw"), F.coalesce("cell", "raw"), F.col("id"))
+    got = df.select("value", "raw", "cell", new.alias("new")).collect()
+    assert all(r.new != r.raw for r in got)
+    of = lambda raw, cell: [float(r.new.strip("<")) for r in got if (r.raw, r.cell) == (raw, cell)]
+    assert all(x >= 0.06 for x in of("0.03", "0.03")) and all(x < 0.05 for x in of("0.40", "0.40"))
+    assert all(2000 <= x <= 2030 for x in of("2015", "2015-2020")) and len(set(of("2015", "2015-2020"))) > 20
+    assert all(x < 100 for x in of("100", "100%")) and all(x <= 98.8 for x in of("99.8", "99.8%")) and all(1 <= x <= 3 for x in of("0", "0%"))
+    assert all(x <= 0 for x in of("-2", "-2 kg"))
+
+
+def test_row_swap_lists_no_pairs(spark):
+    wide = [[f"r{i}", str(i % 97)] for i in range(3000)] + [["x", "1", "2"], ["y", "1", "2"]]
+    df = spark.createDataFrame([(1, wide, "As r17 says"), (2, [["long label", "5"], ["other", "5"], ["third", "6"]], "the long label is here"), (3, [["a", "1"], ["b", "1"]], "")], "id int, t array<array<string>>, claim string")
+    got = {r.id: r.s for r in df.select("id", perturb.row_swap(F.col("t"), F.col("claim"), F.col("id")).alias("s")).collect()}
+    assert wide[got[1].i][1] != wide[got[1].j][1] and not got[1].grounded
+    assert (got[2].i, got[2].j, got[2].grounded) == (0, 2, True) and got[3] is None
 
 
 def test_panels():
