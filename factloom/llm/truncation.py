@@ -2,7 +2,11 @@
 
 1. Prefix self-join. Every value publishes a hash of its prefixes at the steps of a ladder of fixed lengths,
    with the characters that follow. Every value, however it ends, looks itself up at its last step: it is a
-   strict prefix of a longer copy if the hash and the rest agree. No texts are joined.
+   strict prefix of a longer copy if the hash and the rest agree. No texts are joined, and no step brings all
+   texts that share it together with all values that do: a step is first joined with the one row that says
+   which lengths are asked for there, then what it shows is cut at just these lengths and joined on the whole
+   value. Steps that many texts share (the short ones, or a template's) meet single rows only, so such a join
+   can be split anywhere.
 2. Limits. Lengths (in characters or bytes) at which such prefixes pile up within a source are its field
    limits; unfinished values of just that length are cut too, with or without a copy.
 3. Endings. How often each pair of last words ends a value against how often it goes on, counted over all
@@ -29,10 +33,10 @@ from pyspark.sql import Window
 from factloom.llm import sentences
 from factloom.llm.common import materialize
 
-#: Step of the ladder of prefix lengths, and how many characters after a step are published.
-STEP, SHOWN = 32, 48
-#: Characters at a value's end that tell whether it is finished.
-ENDING = 160
+#: Steps of the ladder of prefix lengths: some short ones, then every STEP characters. What follows is published up to the next step and BEYOND it.
+FIRST_STEPS, STEP, BEYOND = (0, 8, 16), 32, 16
+#: Characters at a value's end that tell whether it is finished; more are looked at where closing markup or an open quotation is longer.
+ENDING, TAIL = 160, 120
 #: A length is a limit of a source's field if at least LIMIT_ROWS different cut values have it, and twice as many, and SIGMAS
 #: deviations, as the lengths up to NEAR from it have on average (of which none counts for more than the length itself).
 LIMIT_ROWS, NEAR, SIGMAS = 3, 32, 8
@@ -63,18 +67,51 @@ def squeezed(text: str) -> str:
     return " ".join(text.split())
 
 
-def open_quote(text: str) -> bool:
-    """A quotation is open at the end."""
+def quote_open_at(text: str) -> int:
+    """Where a quotation starts that is open at the end, the first of them; -1 if there is none."""
+    found = []
     for a, b in QUOTES:
         at = text.rfind(a)
         if at >= 0 and not any(c in text[at + 1 :] for c in b) and not (a == "“" and "„" in text[:at]):
-            return True
-    return False
+            found.append(at)
+    return min(found, default=-1)
+
+
+def open_quote(text: str) -> bool:
+    """A quotation is open at the end."""
+    return quote_open_at(text) >= 0
 
 
 def without_closing(text: str) -> str:
     """Without closing markup at the end."""
-    return text[:-ENDING] + CLOSING.sub("", text[-ENDING:]) if text[-1:] in ("}", ">") or text[-1:].isspace() else text
+    if not (text[-1:] in ("}", ">") or text[-1:].isspace()):
+        return text
+    n = ENDING
+    while True:
+        m = CLOSING.search(text[-n:])
+        if m is None or m.start() > 0 or n >= len(text):
+            return text[:-n] + text[-n:][: m.start() if m else None]
+        n *= 4
+
+
+def tail_of(text: str) -> str:
+    """The end of a text: TAIL characters, or from where an open quotation starts."""
+    at = quote_open_at(text)
+    return text[-TAIL:] if at < 0 else text[min(at, max(0, len(text) - TAIL)) :]
+
+
+def last_step(n: int) -> int:
+    """The last step of the ladder that a text of n characters reaches."""
+    return n // STEP * STEP if n >= STEP else max(x for x in FIRST_STEPS if x <= n)
+
+
+def steps(n: int) -> Iterator[tuple[int, int]]:
+    """(step, next step) of the ladder below n."""
+    step, rising = 0, iter((*FIRST_STEPS[1:], STEP))
+    while step < n:
+        following = next(rising, step + STEP)
+        yield step, following
+        step = following
 
 
 def abbreviated(head: str) -> bool:
@@ -86,7 +123,7 @@ def abbreviated(head: str) -> bool:
 
 def finished(text: str) -> int:
     """2: ends with a sentence. 1: ends with a mark that may be within one (a number's, 'et al.', a spaced one). 0: neither. Closing markup doesn't count."""
-    head = without_closing(text[-ENDING:])
+    head = without_closing(text)[-ENDING:]
     if head[-1:] not in FINAL_MARKS:
         m = ENDED.search(head)
         if m is None or open_quote(text):
@@ -142,12 +179,20 @@ def grams(text: str) -> list[str]:
     return [m for w in text.split() for m in get(w) or _masked_parts(w)]
 
 
-def _hash(text: str) -> int:
-    value = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-VALUE_SCHEMA = "row_id bigint, source string, field string, chars int, bytes int, broken boolean, ended int, step int, prefix bigint, rest string, tail string, length int, two bigint, one bigint, word boolean, number boolean"
+def _hash(text: str) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
+
+
+def _halves(value: int) -> tuple[int, int]:
+    """A 128-bit hash as two columns: 64 bits would make texts meet by chance in a corpus of 10^11."""
+    return _signed(value >> 64), _signed(value & 0xFFFFFFFFFFFFFFFF)
+
+
+VALUE_SCHEMA = "row_id bigint, source string, field string, chars int, bytes int, broken boolean, ended int, prefix bigint, check bigint, rest string, tail string, two bigint, one bigint, word boolean, number boolean"
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,40 +203,40 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = squeezed(raw)
             ended = finished(text)
             broken = text.endswith(("�", "…")) or text.endswith("...")
-            step = len(text) // STEP * STEP
-            prefix = _hash(field + text[:step])
+            step = last_step(len(text))
+            prefix, check = _halves(xxhash.xxh3_128_intdigest((field + text[:step]).encode("utf-8", "surrogatepass")))
             if ended == 2:
                 last, two, one = "", 0, 0  # only a longer copy can tell that it is cut
             else:
-                shown = without_closing(text[-200:])
+                shown = without_closing(text)[-200:]
                 tokens = grams(shown.lower() if shown.isupper() else shown)
                 last = tokens[-1] if tokens else ""
                 two, one = _hash("\x1f".join(tokens[-2:])), _hash(last)
-            rows.append((row_id, source, field, len(raw), len(raw.encode("utf-8", "surrogatepass")), broken, ended, step, prefix, text[step:], text[-120:], len(text), two, one, last[:1].isalpha() and last != "N", last[:1].isdigit()))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 16
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+            rows.append((row_id, source, field, len(raw), len(raw.encode("utf-8", "surrogatepass")), broken, ended, prefix, check, text[step:], tail_of(text), two, one, last[:1].isalpha() and last != "N", last[:1].isdigit()))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 15
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
         names = [x.split()[0] for x in VALUE_SCHEMA.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def _ladder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A hash of each prefix of STEP, 2 STEP, ... characters, with what follows; equal ones of a worker are given out once."""
+    """A hash of the prefix at each step, with what follows; most copies that one worker sees are given out once."""
     given: set[tuple[int, str]] = set()
     for batch in batches:
         new: list[tuple[int, str]] = []
         for field, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text = squeezed(raw)
-            state = xxhash.xxh3_64(field.encode())
-            for step in range(0, len(text), STEP):
-                rung = (state.intdigest(), text[step : step + SHOWN])
+            state = xxhash.xxh3_128(field.encode())
+            for step, following in steps(len(text)):
+                rung = (state.intdigest(), text[step : following + BEYOND])
                 if rung not in given:
                     given.add(rung)
                     new.append(rung)
-                state.update(text[step : step + STEP].encode("utf-8", "surrogatepass"))
+                state.update(text[step:following].encode("utf-8", "surrogatepass"))
             if len(given) > RUNGS:
                 given.clear()
-        prefixes = np.array([h for h, _ in new], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(prefixes), pa.array([x for _, x in new], pa.string())], names=["prefix", "shown"])
+        halves = np.array([(h >> 64, h & 0xFFFFFFFFFFFFFFFF) for h, _ in new], np.uint64).reshape(-1, 2).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array([x for _, x in new], pa.string())], names=["prefix", "check", "shown"])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +276,25 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _judge(frames):
     for f in frames:
-        yield f.loc[[not between(t, a) for t, a in zip(f["tail"], f["after"], strict=True)], ["row_id", "field", "source", "chars", "bytes", "prefix", "rest"]]
+        yield f.loc[[not between(t, a) for t, a in zip(f["tail"], f["after"], strict=True)], ["prefix", "check", "rest"]]
+
+
+VALUE = ["prefix", "check", "rest"]
+
+
+def longer_copies(values: DataFrame, ladder: DataFrame) -> DataFrame:
+    """(prefix, check, rest): the distinct values that are strict prefixes of a longer copy which goes on within the sentence.
+
+    A step that many texts share is joined with one row, the bits of the lengths that values ask for there; an extension
+    is joined with one row too, the value it extends. Both joins are on keys that are unique on one side, so adaptive
+    execution can split the other side of a hot one; their work is in proportion to the texts.
+    """
+    asked = values.groupBy("prefix", "check").agg(F.bit_or(F.expr("shiftleft(1L, length(rest))")).alias("asked"))
+    at = F.filter(F.sequence(F.lit(0), F.lit(STEP - 1)), lambda k: (F.getbit("asked", k) == 1) & (F.length("shown") > k))
+    met = ladder.join(asked, ["prefix", "check"]).select("prefix", "check", "shown", F.explode(at).alias("k"))
+    extended = met.select("prefix", "check", F.expr("substr(shown, 1, k)").alias("rest"), F.expr("substr(shown, k + 1)").alias("after"))
+    once = values.groupBy(*VALUE).agg(F.max("tail").alias("tail"))
+    return once.join(extended, VALUE).select(*VALUE, "tail", "after").mapInPandas(_judge, "prefix bigint, check bigint, rest string").distinct()
 
 
 def detect(records: DataFrame, fields: tuple[str, ...] = ("caption", "context"), key: str = "row_id", source: str = "source") -> DataFrame:
@@ -246,17 +309,13 @@ def detect(records: DataFrame, fields: tuple[str, ...] = ("caption", "context"),
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), records[f].alias("text")) for f in fields]))
     texts = records.select(records[key].cast("bigint").alias("row_id"), F.coalesce(records[source], F.lit("")).alias("source"), each.alias("x")).select("row_id", "source", "x.field", "x.text").where("text is not null and trim(text) <> ''")
     values = materialize(texts.mapInArrow(_values, VALUE_SCHEMA))
-    # one exchange serves both the removal of equal rungs and the join; copies of one text are mostly gone before it
-    ladder = texts.select("field", "text").mapInArrow(_ladder, "prefix bigint, shown string").repartition("prefix").distinct()
-    # strict prefixes of a longer copy
-    probes = values.select("row_id", "field", "source", "chars", "bytes", "prefix", "rest", "tail")
-    longer = probes.join(ladder, "prefix").where(F.col("shown").startswith(F.col("rest")) & (F.length("shown") > F.length("rest")))
-    seen = longer.select("row_id", "field", "source", "chars", "bytes", "prefix", "rest", "tail", F.expr("substr(shown, length(rest) + 1)").alias("after"))
-    prefixed = materialize(seen.mapInPandas(_judge, "row_id bigint, field string, source string, chars int, bytes int, prefix bigint, rest string").distinct())
+    ladder = texts.select("field", "text").mapInArrow(_ladder, "prefix bigint, check bigint, shown string")
+    cut = materialize(longer_copies(values.select(*VALUE, "tail"), ladder))
+    prefixed = materialize(values.join(cut, VALUE).select("row_id", "field", "source", "chars", "bytes", *VALUE))
     marked = prefixed.select("row_id", "field", F.lit("prefix").alias("why")).distinct()
     known = values.where("ended < 2").join(marked, ["row_id", "field"], "left")
     # limits: lengths at which prefixes pile up
-    lengths = prefixed.select("source", "field", "prefix", "rest", "chars", "bytes").distinct().groupBy("source", "field", "chars", "bytes").agg(F.count("*").alias("n"))
+    lengths = prefixed.select("source", "field", *VALUE, "chars", "bytes").distinct().groupBy("source", "field", "chars", "bytes").agg(F.count("*").alias("n"))
     # a value counts in the unit whose pile is higher: a limit in characters piles up at several lengths in bytes too
     units = lengths.withColumn("c", F.sum("n").over(Window.partitionBy("source", "field", "chars"))).withColumn("b", F.sum("n").over(Window.partitionBy("source", "field", "bytes")))
     unit = F.explode(F.array(F.when(F.col("c") >= F.col("b"), F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size"))), F.when(F.col("b") >= F.col("c"), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))))

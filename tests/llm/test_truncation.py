@@ -64,3 +64,31 @@ def test_extra_columns(gold):
 
 def test_finished():
     assert [t.finished(x) for x in ("Done.", "See Fig.", "by J.", "at 74.", "asked: “Is it", "done.” [3]", "no mark", "好。", "X-S.")] == [2, 0, 0, 1, 0, 2, 0, 2, 2]
+
+
+def test_steps_that_many_texts_share(gold, spark):
+    """All texts share the short steps, and a third of them a template: values that stop there find their copies, and each step meets one row."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    template = "Comparison of the mean scores of all of the models that were"
+    whole = [(f"{template} {word()} " if i % 3 == 0 else "") + " ".join(word() for _ in range(12)) + "." for i in range(6000)]
+    cuts = [x[: rng.choice((3, 5, 7, 8, 12, 16, 20, 31, 32, 45, 66))] + rng.choice(("", "", "Q")) for x in whole[:1500]]
+    rows = [{"caption": x} for x in whole + cuts]
+    df = gold(*rows)
+    texts = df.selectExpr("row_id", "'' as source", "'caption' as field", "caption as text")
+    values = texts.mapInArrow(t._values, t.VALUE_SCHEMA).cache()
+    ladder = texts.select("field", "text").mapInArrow(t._ladder, "prefix bigint, check bigint, shown string")
+    asked = values.groupBy("prefix", "check").count()
+    assert asked.count() == asked.select("prefix", "check").distinct().count()  # one row a step, however many texts share it
+    got = {r.row_id for r in values.join(t.longer_copies(values.select(*t.VALUE, "tail"), ladder), t.VALUE).select("row_id").collect()}
+    longer = {}
+    for x in {t.squeezed(x["caption"]) for x in rows}:
+        for k in range(1, len(x)):
+            longer.setdefault(x[:k], []).append(x)
+    brute = {i for i, x in enumerate(rows, 1) if any(not t.between(t.tail_of(v), y[len(v) :][:16]) for v in [t.squeezed(x["caption"])] for y in longer.get(v, []))}
+    assert got == brute and len(got) > 700
+
+
+def test_open_quotations_and_long_closing_markup():
+    assert t.tail_of("He said “" + "word " * 60).startswith("“word") and len(t.tail_of("x" * 500)) == t.TAIL
+    assert t.without_closing("It ends here." + "</b></i>" * 100) == "It ends here."
