@@ -1,32 +1,57 @@
 """Packing of documents into containers of fixed token capacity, along a space-filling curve.
 
 Every document gets a vector of few dimensions: a signed random projection of its token
-counts. The position of that vector on a Hilbert curve is the sort key, so that documents
-alike in wording stand near each other. The rows are range-sorted by (key, document), and
-each range is packed by best fit among neighbours: blocks of consecutive documents, largest
-first within a block; the containers that a block leaves open are offered to the next ones. No range holds more than its share of equal keys, because the
-document's id breaks ties.
+counts, brought to unit length before. The position of that vector on a Hilbert curve is the sort key,
+so that documents alike in wording stand near each other. The rows are range-sorted by (key, document),
+and each range is packed in the curve's order: a document goes into the container among the OPEN last
+ones that it fills best, and if none has room the fullest of them is closed for a new one. So a
+container's members are neighbours on the curve, and a range leaves at most OPEN containers unfilled.
+No range holds more than its share of equal keys, because the document's id breaks ties.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.bpe import default_path, tokenizer
 from factloom.llm.common import materialize
 
-DIMENSIONS, BITS = 3, 10
-#: Documents along the curve that are packed with one another.
-BLOCK = 20_000
-#: Most packing specifications that are read to the driver.
+DIMENSIONS, BITS = 8, 7
+#: Containers of a specification that are open at a time: how far along the curve a container may reach.
+OPEN = 16
+#: Most packing specifications, a small table given by the caller.
 MOST_SPECS = 1000
+#: Hashes of a document's signature, by which the likeness of container mates is measured.
+SIGNATURE = 32
+
+
+@functools.lru_cache(maxsize=8)
+def encoder(name: str, path: str | None = None) -> Callable[[str], list[int]]:
+    """Ids of a text by a public tokenizer, without special tokens; one a Python worker. path: its .tiktoken file, else the installed one is used."""
+    if path:
+        return tokenizer(path).encode
+    import public_tokenizers
+
+    if name.startswith("byte_bpe"):
+        return tokenizer(default_path(name)).encode
+    if name.startswith("word_bpe"):
+        from tokenizers import Tokenizer
+
+        words = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        words.encode_special_tokens = True
+        return lambda text: words.encode(text, add_special_tokens=False).ids
+    if name.startswith("piece_bpe"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{name}.model")).encode
+    raise ValueError(f"no such tokenizer: {name}")
 
 
 def projection(seed: int = 9, vocabulary: int = 65_536, dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -64,105 +89,136 @@ def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def measured(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, curve) of every document; null and empty texts have no tokens and curve 0."""
-    path = path or default_path()
+def measured(docs: DataFrame, names: tuple[str, ...] = ("byte_bpe_50k",), path: str | None = None) -> DataFrame:
+    """(doc_id, sizes, curve) of every document: its tokens by each tokenizer, and its place by the first; null and empty texts have no tokens and curve 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, signs = tokenizer(path).encode, projection()
+        encoders, signs = [encoder(n, path) for n in names], projection()
         for batch in batches:
-            sizes = np.zeros(batch.num_rows, np.int64)
+            sizes = np.zeros((batch.num_rows, len(names)), np.int64)
             points = np.zeros((batch.num_rows, DIMENSIONS))
             for i, value in enumerate(batch.column(1)):
-                s = value.as_py()
-                if s:
-                    ids = encode(s)
-                    sizes[i] = len(ids)
-                    points[i] = signs[ids].mean(0) * np.sqrt(len(ids))
+                text = value.as_py()
+                for k, encode in enumerate(encoders if text else ()):
+                    ids = encode(text)
+                    sizes[i, k] = len(ids)
+                    if k == 0 and ids:
+                        found, counts = np.unique(np.asarray(ids) % len(signs), return_counts=True)
+                        points[i] = counts @ signs[found] / np.sqrt(np.square(counts, dtype=np.float64).sum())
             cells = ((1 + points / (1 + np.abs(points))) / 2 * ((1 << BITS) - 1)).astype(np.int64)
-            keys = np.where(sizes > 0, hilbert_index(cells), 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(keys)], names=["doc_id", "n_tokens", "curve"])
+            keys = np.where(sizes[:, 0] > 0, hilbert_index(cells), 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sizes.size + 1, len(names)), pa.int32()), pa.array(sizes.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(keys)], names=["doc_id", "sizes", "curve"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, curve bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, sizes array<bigint>, curve bigint")
 
 
-def fit_block(sizes: list[int], capacity: int, rooms: list[int] | None = None, bins: list[int] | None = None, opened: int = 0) -> list[int]:
-    """Container of each item, by best fit with the largest first; ties go to the earlier item.
+class Filling:
+    """The open containers of one specification in one range."""
 
-    rooms (ascending) and bins: the containers that earlier blocks left open; both are brought up to date. New ones are numbered from opened on.
-    """
-    out = [0] * len(sizes)
-    rooms, bins = [] if rooms is None else rooms, [] if bins is None else bins
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        at = bisect.bisect_left(rooms, sizes[i])
-        if at < len(rooms):
-            room, which = rooms.pop(at), bins.pop(at)
+    def __init__(self, capacity: int, most: int = OPEN) -> None:
+        self.capacity, self.most, self.opened = capacity, most, 0
+        self.rooms: list[int] = []  # ascending
+        self.bins: list[int] = []
+
+    def put(self, size: int) -> int:
+        """The container of the next item: the open one it fills best, else a new one."""
+        at = bisect.bisect_left(self.rooms, size)
+        if at < len(self.rooms):
+            room, which = self.rooms.pop(at), self.bins.pop(at)
         else:
-            room, which, opened = capacity, opened, opened + 1
-        out[i] = which
-        room -= sizes[i]
-        at = bisect.bisect_left(rooms, room)
-        rooms.insert(at, room)
-        bins.insert(at, which)
-    return out
+            room, which = self.capacity, self.opened
+            self.opened += 1
+            if len(self.rooms) >= self.most:
+                del self.rooms[0], self.bins[0]  # the fullest
+        room -= size
+        if room or not size:
+            at = bisect.bisect_left(self.rooms, room)
+            self.rooms.insert(at, room)
+            self.bins.insert(at, which)
+        return which
 
 
 def pack(docs: DataFrame, specs: DataFrame, path: str | None = None, partitions: int | None = None) -> DataFrame:
     """(pack_id, container, doc_id, piece, start_token, n_tokens): where every document or piece goes.
 
-    A document longer than the capacity is cut into full pieces and a rest; no other is cut. Documents without
-    tokens stand in a container like any other (size 0). A null or non-positive capacity gives no rows, an empty
-    table gives none. Repeated doc_ids are packed row by row. container is unique within a pack_id.
+    specs: pack_id, tokenizer (null: byte_bpe_50k; an unknown name is an error), capacity_tokens. A document longer than the
+    capacity is cut into full pieces and a rest; no other is cut. Documents without tokens stand in a container like any
+    other (size 0). A null pack_id and a null or non-positive capacity give no rows, an empty table gives none. Repeated
+    and null doc_ids are packed row by row. container is unique within a pack_id, also where specifications share one.
     """
     spark = docs.sparkSession
-    rows = specs.select("pack_id", "capacity_tokens").limit(MOST_SPECS + 1).collect()
+    has_name = "tokenizer" in specs.columns
+    rows = specs.select("pack_id", "capacity_tokens", F.col("tokenizer") if has_name else F.lit(None).cast("string").alias("tokenizer")).limit(MOST_SPECS + 1).collect()
     if len(rows) > MOST_SPECS:
         raise ValueError(f"more than {MOST_SPECS} packing specifications")
-    capacities = {int(r.pack_id): int(r.capacity_tokens) for r in rows if r.pack_id is not None and (r.capacity_tokens or 0) > 0}
+    asked = sorted({(int(r.pack_id), int(r.capacity_tokens), r.tokenizer or "byte_bpe_50k") for r in rows if r.pack_id is not None and (r.capacity_tokens or 0) > 0})
     schema = "pack_id bigint, container bigint, doc_id bigint, piece int, start_token bigint, n_tokens bigint"
-    if not capacities:
+    if not asked:
         return spark.createDataFrame([], schema)
-    partitions = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+    names = tuple(sorted({name for *_, name in asked}))
+    for name in names:
+        encoder(name, path)  # an unknown tokenizer shows here, not in a task
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        opened = {p: 0 for p in capacities}
-        open_rooms: dict[int, tuple[list[int], list[int]]] = {p: ([], []) for p in capacities}
+        filling = [Filling(capacity) for _, capacity, _ in asked]
         base = TaskContext.get().partitionId() << 40
-
-        def block(ids: np.ndarray, sizes: np.ndarray) -> Iterator[pd.DataFrame]:
-            for pack_id, capacity in capacities.items():
-                pieces = np.maximum(1, -(-sizes // capacity))
-                doc = np.repeat(ids, pieces)
+        for batch in batches:
+            sizes = batch.column(1).values.to_numpy().reshape(-1, len(names)) if batch.num_rows else np.zeros((0, len(names)), np.int64)
+            for n, (pack_id, capacity, name) in enumerate(asked):
+                put, size = filling[n].put, sizes[:, names.index(name)]
+                pieces = np.maximum(1, -(-size // capacity))
+                doc = np.repeat(np.arange(len(size)), pieces)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 start = piece * capacity
-                size = np.minimum(capacity, np.repeat(sizes, pieces) - start)
-                rooms, bins = open_rooms[pack_id]
-                container = np.array(fit_block(size.tolist(), capacity, rooms, bins, opened[pack_id]), np.int64)
-                full = bisect.bisect_right(rooms, 0)
-                del rooms[:full], bins[:full]
-                yield pd.DataFrame({"pack_id": pack_id, "container": base + container, "doc_id": doc, "piece": piece.astype(np.int32), "start_token": start, "n_tokens": size})
-                opened[pack_id] = max(opened[pack_id], int(container.max()) + 1)
-
-        ids, sizes = np.empty(0, np.int64), np.empty(0, np.int64)
-        for frame in frames:
-            ids = np.concatenate([ids, frame["doc_id"].to_numpy(np.int64)])
-            sizes = np.concatenate([sizes, frame["n_tokens"].to_numpy(np.int64)])
-            while len(ids) >= BLOCK:
-                yield from block(ids[:BLOCK], sizes[:BLOCK])
-                ids, sizes = ids[BLOCK:], sizes[BLOCK:]
-        if len(ids):
-            yield from block(ids, sizes)
+                length = np.minimum(capacity, size[doc] - start)
+                container = base + np.array([put(x) for x in length.tolist()], np.int64) * len(asked) + n
+                columns = [pa.array(np.full(len(doc), pack_id)), pa.array(container), batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length)]
+                yield pa.RecordBatch.from_arrays(columns, names=["pack_id", "container", "doc_id", "piece", "start_token", "n_tokens"])
 
     # written once: the range sort samples its input first, which would encode every text twice
-    sized = materialize(measured(docs, path).where("doc_id is not null"))
-    on_curve = sized.repartitionByRange(partitions, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
-    return on_curve.select("doc_id", "n_tokens").mapInPandas(run, schema)
+    sized = materialize(measured(docs, names, path))
+    ranged = sized.repartitionByRange(partitions, "curve", "doc_id") if partitions else sized.repartitionByRange("curve", "doc_id")  # as many ranges as its size takes
+    return ranged.sortWithinPartitions("curve", "doc_id").select("doc_id", "sizes").mapInArrow(run, schema)
+
+
+def signatures(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, signature): the least of SIGNATURE hashes over a document's distinct tokens; documents without tokens are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder("byte_bpe_50k", path)
+        factors = np.random.default_rng(3).integers(1, 1 << 62, SIGNATURE, np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in batches:
+            ids, out = [], []
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = np.unique(np.asarray(encode(value), np.uint64)) if value else np.empty(0, np.uint64)
+                if len(found):
+                    with np.errstate(over="ignore"):
+                        mixed = (found[:, None] + np.uint64(1)) * factors
+                        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+                    ids.append(key)
+                    out.append((mixed >> np.uint64(1)).min(axis=0).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "signature"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "doc_id bigint, signature array<bigint>")
+
+
+def likeness(packed: DataFrame, docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(pack_id, likeness, by_chance): mean likeness (Jaccard, of the sets of tokens) of documents beside each other in a container, and of ones drawn anywhere."""
+    signed = signatures(docs, path)
+    members = packed.where("piece = 0").select("pack_id", "container", "doc_id").join(signed, "doc_id")
+    same = F.aggregate(F.zip_with("signature", "other", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x) / F.lit(float(SIGNATURE))
+    inside = members.withColumn("other", F.lag("signature").over(Window.partitionBy("pack_id", "container").orderBy("doc_id")))
+    mates = inside.where("other is not null").groupBy("pack_id").agg(F.avg(same).alias("likeness"))
+    anywhere = signed.withColumn("h", F.xxhash64("doc_id")).withColumn("other", F.lag("signature").over(Window.partitionBy(F.expr("pmod(h, 256)")).orderBy("h")))
+    chance = anywhere.where("other is not null").agg(F.avg(same).alias("by_chance"))
+    return mates.crossJoin(chance)  # one row
 
 
 def summary(packed: DataFrame, specs: DataFrame) -> DataFrame:
-    """Containers, tokens and the share of used room of each specification."""
+    """Containers, tokens and the share of used room of each specification; specifications that share a pack_id are summed up under the larger capacity."""
     per_bin = packed.groupBy("pack_id", "container").agg(F.sum("n_tokens").alias("used"))
     per_spec = per_bin.groupBy("pack_id").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"))
-    return specs.select("pack_id", "capacity_tokens").join(per_spec, "pack_id").withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+    return specs.groupBy("pack_id").agg(F.max("capacity_tokens").alias("capacity_tokens")).join(per_spec, "pack_id").withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))

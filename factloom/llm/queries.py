@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, leaks, markup, overlap, packing, raking, sentences, splits, stuffing, truncation
-from factloom.llm.common import table
+from factloom.llm.common import materialize, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +88,8 @@ def p9_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_summary(spark: SparkSession, d: str) -> DataFrame:
-    return packing.summary(p9_pack(spark, d), table(spark, d, "pack_specs"))
+    packed = materialize(p9_pack(spark, d))
+    return packing.summary(packed, table(spark, d, "pack_specs")).join(packing.likeness(packed, table(spark, d, "documents")), "pack_id", "left")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

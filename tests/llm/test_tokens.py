@@ -60,14 +60,16 @@ def test_hilbert_curve_moves_one_step_at_a_time():
     assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
 
 
-def test_best_fit():
-    assert packing.fit_block([5, 5, 3, 2, 5], 10) == [0, 0, 1, 1, 1]
+def test_filling():
+    f = packing.Filling(10, most=2)
+    assert [f.put(x) for x in (5, 5, 3, 2, 5, 9, 9, 8, 1)] == [0, 0, 1, 1, 1, 2, 3, 4, 2]
     rng = random.Random(3)
-    sizes = [rng.randint(0, 100) for _ in range(500)]
-    used = {}
-    for s, c in zip(sizes, packing.fit_block(sizes, 100), strict=True):
+    sizes = [rng.randint(0, 100) for _ in range(2000)]
+    f, used = packing.Filling(100), {}
+    for s in sizes:
+        c = f.put(s)
         used[c] = used.get(c, 0) + s
-    assert max(used.values()) <= 100 and len(used) <= sum(sizes) / 100 * 1.05 + 1
+    assert max(used.values()) <= 100 and len(used) <= sum(sizes) / 100 * 1.06 + 1 and len(f.rooms) <= packing.OPEN
 
 
 def test_packing(documents, spark):
@@ -94,15 +96,25 @@ def test_packing(documents, spark):
     assert packing.summary(packed, specs).where("fill is not null").count() == 2
 
 
-def test_open_containers_go_on_into_the_next_block(documents, spark, monkeypatch):
-    rng = random.Random(6)
-    monkeypatch.setattr(packing, "BLOCK", 10)
-    df = documents(*[" one" * rng.randint(1, 4) for _ in range(90)])
-    specs = spark.createDataFrame([(1, "byte_bpe_50k", 64)], "pack_id bigint, tokenizer string, capacity_tokens bigint")
-    filled = {}
-    for r in packing.pack(df, specs, partitions=1).collect():
-        filled[r.container] = filled.get(r.container, 0) + r.n_tokens
-    assert max(filled.values()) <= 64 and len(filled) > 1 and sum(n <= 32 for n in filled.values()) <= 1
-    rooms, bins = [], []
-    assert packing.fit_block([6, 5], 10, rooms, bins) == [0, 1] and packing.fit_block([4, 5, 9], 10, rooms, bins, 2) == [0, 1, 2]
-    assert rooms == [0, 0, 1]
+def test_specifications(documents, spark):
+    schema = "pack_id bigint, tokenizer string, capacity_tokens bigint"
+    df = documents("One two three", "one two", None).union(spark.createDataFrame([(None, "four five"), (None, "four five")], "doc_id bigint, text string"))
+    rows = packing.pack(df, spark.createDataFrame([(1, "word_bpe_49k", 64), (2, None, 64), (2, "piece_bpe_32k", 32), (2, None, 64), (None, "x", 5)], schema)).collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r.pack_id, r.container), []).append((r.doc_id, r.n_tokens))
+    assert {k[0]: sum(len(v) for c, v in got.items() if c[0] == k[0]) for k in got} == {1: 5, 2: 10}  # null ids are kept, equal specifications count once
+    assert len({c for p, c in got if p == 2}) == 2
+    with pytest.raises(ValueError, match="tokenizer"):
+        packing.pack(df, spark.createDataFrame([(1, "x", 5)], schema))
+
+
+def test_mates_are_alike(documents, spark):
+    rng = random.Random(8)
+    topics = [[f"{chr(97 + t)}{chr(97 + i)}word" for i in range(20)] for t in range(12)]
+    texts = [" ".join(rng.choice(topics[i % 12]) for _ in range(rng.randint(20, 60))) for i in range(1500)]
+    specs = spark.createDataFrame([(1, "byte_bpe_50k", 1024)], "pack_id bigint, tokenizer string, capacity_tokens bigint")
+    df = documents(*texts)
+    packed = packing.pack(df, specs).cache()
+    r = packing.likeness(packed, df).first()
+    assert r.likeness > 1.5 * r.by_chance and packing.summary(packed, specs).first().fill > 0.96
