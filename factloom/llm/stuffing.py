@@ -2,8 +2,8 @@
 
 A page is cut into lines, and long lines into stretches of some words. Each line gets a few discrete
 features (share of links, of hash tags, of words the page keeps repeating, of separators and of short
-items), whose likelihood under each label is tabled below. Labels stick to their neighbours, so Viterbi
-smooths over a stray prose-like line within a list and a stray list-like line within prose. A page is
+items), whose likelihoods under each label, like the chances of a label to go on or to change, are fitted on
+a bounded labelled sample (`stuffing_fit`). Labels stick to their neighbours, so Viterbi smooths over a stray prose-like line within a list and a stray list-like line within prose. A page is
 flagged if the words of lines labelled other than prose are more than half of its words.
 """
 
@@ -17,29 +17,24 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from factloom.llm.stuffing_fit import LABEL_OF, Model, fitted
+
 LABELS = ("prose", "links", "tags", "menu")
 #: Words of a line beyond which it is cut (at a sentence end if there is one near, else anywhere).
 STRETCH = 24
-#: A word is repeated if the page has it REPEATED times (on pages of under SHORT words, twice) and it makes up REPEATED_SHARE of the page's words.
-REPEATED, REPEATED_SHARE, SHORT = 3, 0.012, 150
+#: A word is repeated if the page has it twice at least and it makes up REPEATED_SHARE of the page's words.
+REPEATED_SHARE = 0.012
 #: Words below that share are repeated too, from twice on, if the page's words recur so many times on average and evenly (entropy against
 #: that of equal counts), or if those below the share do on a page where no more than ENDED_SHARE of the lines end with a final mark.
 RECURRING, EVEN, ENDED_SHARE = 3, 0.95, 0.2
 FLAGGED_SHARE = 0.5
-STAY = 0.85
-#: Edges of the feature bins, and P(bin | label) in the order of LABELS.
+#: Edges of the feature bins.
 BINS = {"links": (0.12, 0.3), "hash": (0.15, 0.5), "repeated": (0.55, 0.75, 0.9), "items": (0.12, 0.3), "final": (1,)}
-EMIT = {
-    "links": ((0.97, 0.02, 0.01), (0.05, 0.15, 0.80), (0.90, 0.06, 0.04), (0.94, 0.04, 0.02)),
-    "hash": ((0.990, 0.007, 0.003), (0.97, 0.02, 0.01), (0.60, 0.10, 0.30), (0.97, 0.02, 0.01)),
-    "repeated": ((0.50, 0.34, 0.14, 0.02), (0.35, 0.20, 0.15, 0.30), (0.14, 0.08, 0.16, 0.62), (0.02, 0.05, 0.13, 0.80)),
-    "items": ((0.80, 0.16, 0.04), (0.60, 0.20, 0.20), (0.15, 0.30, 0.55), (0.50, 0.25, 0.25)),
-    "final": ((0.35, 0.65), (0.90, 0.10), (0.90, 0.10), (0.75, 0.25)),
-}
-START = (0.7, 0.1, 0.1, 0.1)
-
-URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|test|example|invalid|localhost)\b(?:/\S*)?", re.I)
-HREF = re.compile(r"<a\s[^>]*>(.*?)</a>|\[([^\]\n]*)\]\(\s*(?:https?:|www\.)[^)\s]*\)", re.I | re.S)
+
+#: Hosts without a protocol end in a country's two letters or a common ending, in small letters; endings of program files aren't countries.
+HOST = r"(?<![\w.@])[a-z0-9](?:[\w-]*\w)?(?:\.[\w-]+)*\.(?:(?!(?:py|js|md|rs|sh|ts|cc|hs|pl|ps|so|gz|al)\b)[a-z]{2}|com|net|org|edu|gov|info|biz|shop|store|online|site|website|blog|app|dev|xyz|club|top|live|news|test|example|invalid|localhost)(?![\w.-]*\w)(?:/\S*)?"
+URL = re.compile(r"(?:https?://|www\.)\S+|" + HOST, re.I)
+HREF = re.compile(r"<a\s[^>]*>(.*?)</a>|\[([^\]\n]*)\]\(\s*(?:https?:|www\.|//)[^)\s]*\)", re.I | re.S)
 TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 CITED = re.compile(r"\bdoi\b|\bet al\b|^\s*\[\d+\]", re.I)
 SEPARATOR = re.compile(r"[|;•·»›>]+|,(?!\d)")
@@ -101,7 +96,7 @@ _known: dict[str, Known] = {}
 
 def known(word: str) -> Known:
     key = TRIM.sub("", word).casefold()
-    link = word.startswith(LINK) or ("." in word and URL.search(word) is not None)
+    link = word.startswith(LINK) or (("." in word or "://" in word) and URL.search(word) is not None)
     plain = "" if word.startswith(LINK) or any(map(str.isdigit, key)) else key
     out = (plain, weight(word), link, word[0] == "#" and len(word) > 2 and not word[1:].isdigit())
     if len(word) <= 40:
@@ -130,7 +125,7 @@ def features(lines: list[list[str]]) -> tuple[list[tuple[int, ...]], list[float]
     counts = Counter([k[0] for line in facts for k in line])
     counts.pop("", None)
     total = sum(counts.values())
-    least = max(REPEATED if total >= SHORT else 2, REPEATED_SHARE * total)
+    least = max(2, REPEATED_SHARE * total)
     often = {w for w, n in counts.items() if n >= least}
     if len(often) < len(counts):
         words = sum(map(len, lines))
@@ -151,40 +146,49 @@ def features(lines: list[list[str]]) -> tuple[list[tuple[int, ...]], list[float]
     return out, weights
 
 
-_LOG = [{f: [math.log(p) for p in EMIT[f][s]] for f in EMIT} for s in range(len(LABELS))]
-_STAY, _MOVE = math.log(STAY), math.log((1 - STAY) / (len(LABELS) - 1))
-
-
-def labels(observed: list[tuple[int, ...]]) -> list[int]:
-    """Most likely label of every line (Viterbi); ties go to the earlier label."""
-    names, states = tuple(EMIT), range(len(LABELS))
-    score = [math.log(p) for p in START]
+def states_of(observed: list[tuple[int, ...]], model: Model | None = None) -> list[int]:
+    """The most likely states of the lines together (Viterbi); ties go to the earlier state."""
+    m = model or fitted()
+    states = range(len(LABEL_OF))
+    score = list(m.start)
     back = []
     known: dict[tuple[int, ...], list[float]] = {}
     for t, o in enumerate(observed):
         emit = known.get(o)
         if emit is None:
-            emit = known[o] = [sum(_LOG[s][f][b] for f, b in zip(names, o, strict=True)) for s in states]
+            emit = known[o] = [sum([f[b] for f, b in zip(m.emit[s], o, strict=True)]) for s in states]
         if t:
-            best = max(states, key=lambda s: score[s])
-            moved = score[best] + _MOVE
-            back.append([s if score[s] + _STAY >= moved else best for s in states])
-            score = [max(score[s] + _STAY, moved) for s in states]
-        score = [score[s] + emit[s] for s in states]
+            left = [a + b for a, b in zip(score, m.leave, strict=True)]
+            best = max(states, key=left.__getitem__)
+            second = max([s for s in states if s != best], key=left.__getitem__)
+            came, new = [], []
+            for s in states:
+                source = second if s == best else best
+                moved, stayed = left[source] + m.arrive[s], score[s] + m.stay[s]
+                came.append(s if stayed >= moved else source)
+                new.append(max(stayed, moved))
+            back.append(came)
+            score = new
+        score = [a + b for a, b in zip(score, emit, strict=True)]
     if not observed:
         return []
-    path = [max(states, key=lambda s: score[s])]
+    path = [max(states, key=score.__getitem__)]
     for b in reversed(back):
         path.append(b[path[-1]])
     return path[::-1]
 
 
-def shares(text: str) -> tuple[list[float], int]:
+def labels(observed: list[tuple[int, ...]], model: Model | None = None) -> list[int]:
+    """The label of every line."""
+    return [LABEL_OF[s] for s in states_of(observed, model)]
+
+
+def shares(text: str, model: Model | None = None) -> tuple[list[float], int]:
     """Share of the page's words under each label, and the number of its lines."""
     lines = lines_of(text)
     got = [0.0] * len(LABELS)
     observed, weights = features(lines)
-    for w, label in zip(weights, labels(observed), strict=True):
+    for w, label in zip(weights, labels(observed, model), strict=True):
         got[label] += w
     total = sum(got)
     return [x / total for x in got] if total else got, len(lines)
@@ -194,12 +198,13 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """(doc_id, lines, prose, links, tags, menu, stuffed): word share of each label, and whether the page is flagged.
 
     One narrow pass. A null, empty or blank text has no lines, shares of 0 and isn't flagged. Every row is judged for
-    itself, repeated rows alike; other columns are not read.
+    itself, repeated rows alike; other columns are not read. The model is fitted once, on the driver.
     """
+    model = fitted()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [shares(x) if x else ([0.0] * 4, 0) for x in batch.column(1).to_pylist()]
+            rows = [shares(x, model) if x else ([0.0] * 4, 0) for x in batch.column(1).to_pylist()]
             columns = [pa.array([r[0][i] for r in rows], pa.float64()) for i in range(4)]
             flag = pa.array([sum(r[0][1:]) > FLAGGED_SHARE for r in rows])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[1] for r in rows], pa.int32()), *columns, flag], names=["k", "lines", *LABELS, "stuffed"])

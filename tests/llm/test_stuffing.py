@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from factloom.llm import stuffing
+from factloom.llm import stuffing, stuffing_fit
 
 
 def pages():
@@ -64,15 +64,48 @@ def test_viterbi_is_the_best_path():
     import itertools
     import math
 
-    observed = [(0, 0, 0, 0, 1), (0, 0, 3, 2, 0), (2, 0, 0, 0, 0), (0, 0, 3, 0, 0)]
+    m = stuffing_fit.fitted()
+    n = len(stuffing_fit.STATES)
+    for observed in ([(0, 0, 0, 0, 1), (0, 0, 3, 2, 0), (2, 0, 0, 0, 0), (0, 0, 3, 0, 0)], [(0, 2, 1, 0, 0), (0, 0, 0, 2, 0), (0, 0, 3, 0, 0), (0, 0, 3, 0, 1)]):
 
-    def score(path):
-        total = math.log(stuffing.START[path[0]])
-        for t, s in enumerate(path):
-            total += sum(math.log(stuffing.EMIT[f][s][b]) for f, b in zip(stuffing.EMIT, observed[t], strict=True))
-            if t:
-                total += math.log(stuffing.STAY if s == path[t - 1] else (1 - stuffing.STAY) / 3)
-        return total
+        def score(path, observed=observed):
+            total = m.start[path[0]]
+            for t, s in enumerate(path):
+                total += sum(f[b] for f, b in zip(m.emit[s], observed[t], strict=True))
+                if t:
+                    total += m.stay[s] if s == path[t - 1] else m.leave[path[t - 1]] + m.arrive[s]
+            return total
 
-    best = max(itertools.product(range(4), repeat=4), key=score)
-    assert math.isclose(score(tuple(stuffing.labels(observed))), score(best))
+        best = max(itertools.product(range(n), repeat=4), key=score)
+        assert math.isclose(score(tuple(stuffing.states_of(observed))), score(best))
+
+
+def test_the_chain_beats_single_lines():
+    """On pages that weren't used to fit, labels of lines taken together are right more often than those of each line alone."""
+    import dataclasses
+    import math
+
+    m, n = stuffing_fit.fitted(), len(stuffing_fit.STATES)
+    alone = dataclasses.replace(m, start=(math.log(1 / n),) * n, stay=(math.log(1 / n),) * n, leave=(math.log(1 - 1 / n),) * n, arrive=(math.log(1 / (n - 1)),) * n)
+    right, lines = {True: 0, False: 0}, 0
+    for page in stuffing_fit.labelled(200, 99):
+        seen, states = stuffing_fit.observed(page)
+        lines += len(states)
+        for together in right:
+            got = stuffing.labels(seen, m if together else alone)
+            right[together] += sum(a == stuffing_fit.LABEL_OF[s] for a, s in zip(got, states, strict=True))
+    assert right[True] > 0.95 * lines and right[True] > right[False] + 0.03 * lines
+
+
+def test_links_of_any_host():
+    for host in ("store.de", "some-shop.co.uk", "news.io", "x1.example", "b-c.fr/a/9", "www.anything.zz", "https://q"):
+        assert stuffing.known(host)[2], host
+        assert stuffing.shares("\n".join(f"{host}" for _ in range(20)))[0][1] > 0.5, host
+    for word in ("e.g.", "et.al", "main.py", "U.S.", "3.5", "end.The", "i.e.", "a@mail.de"):
+        assert not stuffing.known(word)[2], word
+
+
+def test_length_changes_no_rule():
+    words = [f"{c}{v}word" for c in "bcdfgh" for v in "aeiou"]
+    for n in (4, 6, 20, 80):
+        assert stuffing.shares(", ".join(words * n))[0][2] > 0.9, n
