@@ -1,12 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import markup
+from factloom.llm import markup, markup_fit
 
 MARKED = [
     "<p>One two.</p>", "one<br/>two", "a &nbsp;b", "x&#8239;&lt;3", "a **bold** word", "a __bold__ word", "in __词__上", "a `code` b", "~~old~~ new", "# Title\n\ntext", "see [it](https://a.example/b)",
     "![alt](f.png)", "> quoted line", "First.\n- one\n- two", "a:\n* one\n* two", "| a | b |\n|---|---|\n| 1 | 2 |", "[[Page (model)|Page]]", "'''bold''' text", "''it'' text", "== Title ==\ntext",
-    "x{{cite|a1}} y", "{| class=\"w\"\n|-\n| a || 2\n|}", "a\\emph{b} c", "{\\it b} c", "\\section{A}\nb", "\\begin{itemize}\n\\item a\n\\end{itemize}", "n ($\\alpha_{2} \\pm 4$) b", "$$ x^{2} \\leq y $$", "X_{\\mathrm{ref}} y", "done.<ref>no. 5</ref>", "```\nx = 1\n```", "a cut off <span cl", "a cut N&nbs", "see [it](https://a.exam", "a cut [[Pag", "the name **Foo",
+    "x{{cite|a1}} y", "{| class=\"w\"\n|-\n| a || 2\n|}", "a\\emph{b} c", "{\\it b} c", "\\section{A}\nb", "\\begin{itemize}\n\\item a\n\\end{itemize}", "n ($\\alpha_{2} \\pm 4$) b", "$$ x^{2} \\leq y $$", "X_{\\mathrm{ref}} y", "done.<ref>no. 5</ref>", "```\nx = 1\n```", "a cut off <span cl", "a cut N&nbs", "see [it](https://a.exam", "a cut [[Pag", "the name **Foo", "an *emphasised phrase* here", "A title\n=======\n\ntext", "Another\n---\ntext", "see:\n\nA | B\n--- | ---\n1 | 2\n",
 ]
 PLAIN = [
     "With p < 0.01 and n > 6, it holds", "Here, <7 steps or ~24% of the R&D budget suffice", "as in A et al. [6], it is.[12]", "percent, * marks p < 0.05. Runs", "A-mini*, i.e. 2*65.7 in all, B*, i.e. 3*4", "costs ca. $6 per run and $7 more",
@@ -39,6 +39,49 @@ def test_structure_is_kept():
     assert c(None) is None
 
 
+def test_headings_tables_and_items_of_other_forms():
+    c = markup.clean
+    assert c("A title\n=====\n\ntext\n\nNext\n----\nmore") == "# A title\n\ntext\n\n## Next\nmore"
+    assert c("a:\n\nA | B\n--- | ---\n1 | 2\n\nb") == "a:\n\nA | B\n1 | 2\n\nb"
+    assert c("\\begin{itemize}\n\\item a\\item b\n\\end{itemize}") == "- a\n- b"
+    assert c("an *emphasised phrase* and A*, i.e. 2*65.7, it is") == "an emphasised phrase and A*, i.e. 2*65.7, it is"
+
+
+def test_boilerplate_goes_with_its_block():
+    c = markup.clean
+    assert c("<p>One two.</p><script>var x = 1;</script><style>.a {b: c}</style><p>Three.</p>") == "One two.\n\nThree."
+    menu = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>About us</a></li><li><a href='/c'>News</a></li></ul></nav>"
+    assert c(f"{menu}<p>The text.</p>") == "The text." and c(menu.replace("nav", "div") + "<p>The text.</p>") == "The text."
+    assert c("<ul><li>one thing</li><li><a href='/x'>another</a> thing</li><li>third</li></ul>") == "- one thing\n- another thing\n- third"
+    assert c("Text first. <script>var x = 1; cut off") == "Text first."
+
+
+def test_the_cut_beats_single_segments():
+    """On texts that weren't used to fit, segments labelled together are right more often than each by its own costs."""
+    table, n = markup_fit.fitted(), 0
+    right = {True: 0, False: 0}
+    for pieces in markup_fit.labelled(400, 77):
+        text = "".join(p for p, _ in pieces)
+        parts = markup.segments(text)
+        true = markup_fit.truth(pieces, parts)
+        n += sum(k != "words" for k, *_ in parts)
+        for cut in right:
+            right[cut] += sum(x[3] == t for x, t in zip(markup.labelled(text, table, cut), true, strict=True) if x[0] != "words")
+    assert right[True] > 0.975 * n and right[True] > right[False] + 0.02 * n
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    for unit in ("* a\n", "**b ", "<b>x ", "a_b *c ", "| a | b |\n", "1. x\n", "<p>w</p>"):
+        took = []
+        for n in (1_000, 4_000):
+            began = time.perf_counter()
+            markup.has_markup(unit * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 12 * took[0] + 0.5, unit
+
+
 def test_formulas_stay_as_they_are():
     c = markup.clean
     long = "$" + " + ".join(f"\\alpha_{{{i}}} x^{{{i}}}" for i in range(40)) + "$"
