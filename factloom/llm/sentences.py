@@ -12,6 +12,7 @@ A position inside a closed quotation is never a break.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,10 +46,6 @@ BLOCK_START = regex.compile(rf"\n\s*(?={BLOCK})")
 HEADING = regex.compile(r"(?:^|\n)[ \t]*(?:\#{1,6} [^\n]*|={2,6}[^=\n]+={2,6}|\\(?:sub)*section\*?\{[^{}\n]*\}|<h\d[^<>]*>[^\n]*?</h\d>)[ \t]*(?=\n|$)")
 THAI_SPACE = regex.compile(r"(?<=\S)\s+(?=\S)")
 QUOTES = (("„", "“"), ("„", "”"), ("“", "”"), ("«", "»"), ("「", "」"), ("『", "』"))
-#: An opening mark without its closing one (the text was cut) protects at most so many characters up to the end.
-OPEN_QUOTE = 200
-
-
 def _words(text: str) -> str:
     return "|".join(regex.escape(w) for w in sorted(set(text.split()), key=lambda w: (-len(w), w)))
 
@@ -57,6 +54,8 @@ def _rule(is_break: bool, before: str, after: str) -> tuple[bool, regex.Pattern]
     return is_break, regex.compile(rf"(?<={before})(?={after})")
 
 
+#: What stands before an abbreviation: no part of a word or of a hyphenated name.
+FREE = r"(?<![\p{L}\p{M}\p{N}-])"
 #: What a small-letter sentence start looks like although sentences start with capitals: a symbol with a number.
 SYMBOL = r"[a-z]\d+\b"
 
@@ -65,8 +64,11 @@ SYMBOL = r"[a-z]\d+\b"
 def tables() -> dict[str, list[tuple[bool, regex.Pattern]]]:
     """The rule tables: of each language, of each script, and the common one."""
     out: dict[str, list[tuple[bool, regex.Pattern]]] = {}
-    for lang in {*NEVER_LAST, *PERHAPS_LAST}:
+    # a letter alone abbreviates something in its own language only: elsewhere it may end a name (`Model M.`)
+    longer = lambda words: " ".join(w for w in words.split() if len(w) > 1)
+    for lang, foreign in itertools.product(sorted({*NEVER_LAST, *PERHAPS_LAST}), (False, True)):
         rules = []
+        never, perhaps = (longer(t.get(lang, "")) if foreign else t.get(lang, "") for t in (NEVER_LAST, PERHAPS_LAST))
         if lang == "de":
             rules.append(_rule(False, r"\b\d{1,2}\.", rf"\s+(?:{_words(MONTHS)})\b"))
             rules.append(_rule(False, r"\b(?:z|d|u|o|i|v|s)\.", r"\s?\p{L}\."))
@@ -79,11 +81,11 @@ def tables() -> dict[str, list[tuple[bool, regex.Pattern]]]:
         if lang == "ru":
             rules.append(_rule(False, r"\bт\.\s?[екдпн]\.", r"\s*\S"))
             rules.append(_rule(False, r"\d\s?гг?\.", r"\s+\p{Ll}"))
-        if lang in NEVER_LAST:
-            rules.append(_rule(False, rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{_words(NEVER_LAST[lang])})\.", r"\s*\S"))
-        if lang in PERHAPS_LAST:
-            rules.append(_rule(False, rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{_words(PERHAPS_LAST[lang])})\.", rf"\s*(?:(?!{SYMBOL})\p{{Ll}}|\[\d|[,;:)])"))
-        out[lang] = rules
+        if never:
+            rules.append(_rule(False, rf"{FREE}(?:{_words(never)})\.", r"\s*\S"))
+        if perhaps:
+            rules.append(_rule(False, rf"{FREE}(?:{_words(perhaps)})\.", rf"\s*(?:(?!{SYMBOL})\p{{Ll}}|\[\d|[,;:)]|\(?(?:19|20)\d\d\b)"))
+        out[lang + "+" * foreign] = rules
     out["th"] = [
         _rule(False, r"(?:รูปที่|ตารางที่|สมการที่|จำนวน|ร้อยละ)\s\d{1,9}", r"\s"),
         _rule(True, rf"(?:{_words(THAI_CLOSE)})", r"\s+\S"),
@@ -105,6 +107,7 @@ def tables() -> dict[str, list[tuple[bool, regex.Pattern]]]:
         _rule(False, r"…|\.\.\.", r"\s*\p{Ll}"),
         _rule(True, rf"{MARK}{CLOSERS}*{CITATION}*", r"\s*\n\s*\n"),
         _rule(True, rf"{MARK}{CLOSERS}*{CITATION}*", rf"\s+{SYMBOL}"),
+        _rule(True, r"(?<!\p{L})\d+\.\d+\.", r"\s+\p{Ll}{2}"),  # a second point can't be the decimal one
         _rule(True, rf"{MARK}{CLOSERS}*{CITATION}*", r"\s+(?!\[\d)[^\p{Ll}\p{M},;:)\]”»–—/=<>+%\s-]"),
         _rule(True, rf"{MARK}{CLOSERS}*{CITATION}*", r"\s+(?:<\w|<[\d ]|-\s)"),
         _rule(True, rf"(?:[\p{{L}}\p{{N}}\p{{M}}%)+\]]|{CLOSERS})[.!?]{CLOSERS}*{CITATION}*", r"\p{Lu}[\p{L} ]|[¿¡„]\p{L}"),  # the space was lost
@@ -124,13 +127,13 @@ def cascade(kind: str) -> tuple[tuple[bool, regex.Pattern], ...]:
     if kind == "th":
         names = ["th"]
     elif kind in ("zh", "ja"):
-        names = ["unspaced", *LATIN, "common"]
+        names = ["unspaced", *[f"{x}+" for x in LATIN], "common"]
     elif kind in ("ar", "hi"):
         names = [kind, "en", "uncased", "common"]
     elif kind == "ru":
         names = ["ru", "common"]
     else:
-        names = [kind, *[x for x in LATIN if x != kind], "common"]
+        names = [kind, *[f"{x}+" for x in LATIN if x != kind], "common"]
     return tuple(r for n in names if n in t for r in t[n])
 
 
@@ -148,10 +151,27 @@ def language(text: str, said: str | None) -> str:
     return said if said in LATIN else "en"
 
 
+def straight(text: str) -> list[tuple[int, int]]:
+    """Quotations in ASCII marks: one opens after a space or bracket and before no space, the next that stands after no space closes it."""
+    out, start = [], -1
+    at = text.find('"')
+    while at >= 0:
+        before, after = text[at - 1 : at] if at else "", text[at + 1 : at + 2]
+        if start < 0:
+            if (not before.strip() or before in "([{—–") and after.strip():
+                start = at
+        elif before.strip() and not after.isalnum():
+            out.append((start, at + 1))
+            start = -1
+        at = text.find('"', at + 1)
+    return out
+
+
 def quoted(text: str) -> list[tuple[int, int]]:
-    """Closed quotations as spans, outermost first in text order; one left open at the very end counts up to OPEN_QUOTE."""
+    """Closed quotations as spans in text order; one left open counts to the end of the text if no blank line comes before it."""
     spans = []
     i, n = 0, len(text)
+    last_blank = text.rfind("\n\n")
     following: dict[str, int] = {}
 
     def after(mark: str, at: int) -> int:
@@ -172,10 +192,18 @@ def quoted(text: str) -> list[tuple[int, int]]:
             spans.append((i, end + 1))
             i = end + 1
         else:
-            if end >= n and n - i <= OPEN_QUOTE:
+            if end >= n and i > last_blank:
                 spans.append((i, n + 1))
             i += 1
-    return spans
+    if '"' not in text:
+        return spans
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans + straight(text)):
+        if merged and a < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
 
 
 def spans(text: str | None, said: str | None = None) -> list[tuple[int, int]]:

@@ -27,6 +27,26 @@ def test_spaced_scripts(lang, parts):
     assert cut("  " + "\n".join(parts) + " \n", lang) == parts  # line breaks are spaces
 
 
+def test_names_that_end_like_abbreviations():
+    parts = ["Sin embargo, bajó con Sixbafield-M.", "La Dra. Foo usa Vozba-S.", "¿Basta el Foo+?", "Luego sí."]
+    for lang in ("es", "en", None):
+        assert cut(" ".join(parts), lang) == parts
+    assert cut("M. Foo arrive.", "fr") == ["M. Foo arrive."] and cut("It is in group M. Next it was S. That was all.", "en") == ["It is in group M. Next it was S. That was all."]
+    assert cut("We took the arm z. The next one was h. That was it.", "en") == ["We took the arm z.", "The next one was h.", "That was it."]
+
+
+def test_straight_quotation_marks():
+    assert cut('He said "It works. Really well." and left. Then "no." She stayed.') == ['He said "It works. Really well." and left.', 'Then "no."', "She stayed."]
+    assert cut('A 5" disk. It is 3" wide. So') == ['A 5" disk.', 'It is 3" wide.', "So"]
+    long = "It works. " * 60
+    assert len(cut(f"He said “{long}")) == 1 and len(cut(f"He said “this\n\n{long}")) > 50
+
+
+def test_years_and_decimals():
+    assert cut("So it was (see Smith et al. 2020). Next Foo et al. (2019) said it.") == ["So it was (see Smith et al. 2020).", "Next Foo et al. (2019) said it."]
+    assert cut("It was 0.5. alpha was 0.2. The v2.1 kit") == ["It was 0.5.", "alpha was 0.2.", "The v2.1 kit"]
+
+
 def test_unspaced_scripts():
     parts = ["共有5个来自Foo（v2.1）……其余稳定。", "Foo写道：“样本是晚期的。不需要它。”并重复了3次。", "够吗？", "见图3！"]
     assert cut("".join(parts), "zh") == parts
