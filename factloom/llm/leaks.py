@@ -7,6 +7,12 @@ consecutive units, the least of every window of w is kept (Schleimer, Wilkerson
 passage of the wanted length is missed. Hashes are joined, hits on one diagonal are counted
 against what the wanted length guarantees, and the survivors are extended unit by unit.
 
+A phrase of k units that many documents and many records have (a set phrase, a form letter) would bring
+all of them together. So documents are first joined with the records' distinct hashes, one row each, and
+what is left is joined on the hash together with the hash REACH units before or after it: a span of the
+wanted length that holds k units goes on for REACH units at least on one of their sides, so this loses
+nothing, and only phrases of k + REACH units can still meet without being leaks.
+
 Held-out texts are fingerprinted once per distinct text, however many records have them. Claims
 too short for the guarantee are found by hashing their whole length.
 """
@@ -22,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import materialize
@@ -31,6 +37,10 @@ from factloom.llm.common import materialize
 NEED = {"w": 30, "c": 60}
 GRAM = {"w": 10, "c": 24}
 WINDOW = {"w": 6, "c": 16}
+#: Half of what a wanted span has besides a hash's units: it has as much before them or after them.
+REACH = {k: -(-(NEED[k] - GRAM[k]) // 2) for k in NEED}
+#: Candidates of a document that are worked on together.
+TOGETHER = 64
 #: A text is a letter stream if at least this share of its letters is Han, Kana or Thai.
 UNSPACED_SHARE = 0.1
 UNSPACED = re.compile(r"[぀-ヿ㐀-鿿豈-﫿฀-๿]")
@@ -133,11 +143,18 @@ def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
     return np.unique(np.arange(len(windows)) + w - 1 - np.argmin(windows[:, ::-1], axis=1))
 
 
-def fingerprints(streams: list[np.ndarray], kind: str, exact: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(stream number, hash, position) of a batch of streams, worked on as one long array."""
+Prints = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _no_prints() -> Prints:
+    return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+
+
+def fingerprints(streams: list[np.ndarray], kind: str, exact: tuple[int, ...] = ()) -> Prints:
+    """(stream number, hash, position, hash REACH units before, and after; 0 for none) of a batch of streams, worked on as one long array."""
     k = GRAM[kind]
     if not streams:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        return _no_prints()
     sizes = np.array([len(s) for s in streams], np.int64)
     starts = np.cumsum(sizes) - sizes
     units = np.concatenate(streams)
@@ -152,20 +169,24 @@ def fingerprints(streams: list[np.ndarray], kind: str, exact: tuple[int, ...] =
         if length == k:
             at = winnow(np.where(inside, hashes, NO_HASH), WINDOW[kind])
             at = at[inside[at]]
+            beside = []
+            for step in (-REACH[kind], REACH[kind]):
+                to = np.clip(at + step, 0, n - 1)
+                there = (at + step == to) & (owner[to] == owner[at]) & inside[to]
+                beside.append(np.where(there, (hashes[to] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0)).astype(np.uint32).view(np.int32))
+            out.append((owner[at], hashes[at], at - starts[owner[at]], *beside))
         else:
             at = np.flatnonzero(inside)
-        tagged = hashes[at] if length == k else hashes[at] ^ np.uint64(length * 0x9E3779B9)
-        out.append((owner[at], tagged, at - starts[owner[at]]))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            none = np.zeros(len(at), np.int32)
+            out.append((owner[at], hashes[at] ^ np.uint64(length * 0x9E3779B9), at - starts[owner[at]], none, none))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else _no_prints()
 
 
 def least_length(kind: str) -> int:
     return GRAM[kind] + WINDOW[kind] - 1
 
 
-RECORD_SCHEMA = "text_id bigint, kind string, need int, units array<bigint>"
+RECORD_SCHEMA = "text_id binary, kind string, need int, units array<bigint>"
 
 
 def _record_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,23 +202,31 @@ def _record_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), pa.array(needs, pa.int32()), pa.array(units, pa.list_(pa.int64()))], names=["text_id", "kind", "need", "units"])
 
 
+def _batch(prints: list[tuple], ids: pa.Array, names: list[str]) -> pa.RecordBatch:
+    """Prints of several kinds as one batch; ids are those of the rows."""
+    rows, hashes, at, before, after, *more = (np.concatenate([p[j] for p in prints]) for j in range(len(prints[0])))
+    columns = [pa.array(hashes.astype(np.uint64).view(np.int64)), ids.take(pa.array(rows.astype(np.int64))), pa.array(at.astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns + [pa.array(x) for x in more], names=names)
+
+
 def _record_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, kinds, needs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
+        kinds, needs = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
         units = batch.column(3)
         parts = []
         for kind in GRAM:
             rows = [i for i, x in enumerate(kinds) if x == kind and needs[i] >= least_length(kind)]
             streams = [units[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for i in rows]
-            owner, hashes, at = fingerprints(streams, kind)
-            parts.append((np.array(rows, np.int64)[owner], hashes, at))
+            owner, hashes, at, before, after = fingerprints(streams, kind)
+            owner = np.array(rows, np.int64)[owner]
+            parts.append((owner, hashes, at, before, after, needs[owner] >= NEED[kind]))
             for i, x in enumerate(kinds):
                 if x == kind and 0 < needs[i] < least_length(kind):
                     stream = units[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                     whole = grams(stream, len(stream)) ^ np.uint64(len(stream) * 0x9E3779B9)
-                    parts.append((np.array([i]), whole, np.array([0])))
-        rows, hashes, at = (np.concatenate([p[j] for p in parts]) for j in range(3))
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[rows.astype(np.int64)]), pa.array(at.astype(np.int32))], names=["hash", "text_id", "at"])
+                    zero = np.zeros(1, np.int32)
+                    parts.append((np.array([i]), whole, zero, zero, zero, np.array([False])))
+        yield _batch(parts, batch.column(0), ["hash", "text_id", "at", "before", "after", "wide"])
 
 
 def _doc_prints(exact: dict[str, tuple[int, ...]]):
@@ -205,16 +234,14 @@ def _doc_prints(exact: dict[str, tuple[int, ...]]):
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
                 texts = batch.column(1).to_pylist()
                 read = [(i, notes) for i, t in enumerate(texts) for notes in readings(t)]
                 spaceless = [(i, notes) for i, notes in read if UNSPACED.search(texts[i])]
                 parts = []
                 for kind, rows, of in (("w", read, words), ("c", spaceless, letters)):
-                    owner, hashes, at = fingerprints([of(texts[i], notes) for i, notes in rows], kind, exact.get(kind, ()))
-                    parts.append((np.array([i for i, _ in rows], np.int64)[owner], hashes, at))
-                rows, hashes, at = (np.concatenate([p[j] for p in parts]) for j in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[rows.astype(np.int64)]), pa.array(at.astype(np.int32))], names=["hash", "doc_id", "doc_at"])
+                    owner, *rest = fingerprints([of(texts[i], notes) for i, notes in rows], kind, exact.get(kind, ()))
+                    parts.append((np.array([i for i, _ in rows], np.int64)[owner], *rest))
+                yield _batch(parts, batch.column(0), ["hash", "doc_id", "doc_at", "before", "after"])
 
     return run
 
@@ -245,7 +272,7 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if any(longest_run(s, units, int(c["diagonal"])) >= c["need"] for s in streams[kind]):
                     done.add(c["text_id"])
                     out.append((c["text_id"], doc_id))
-        yield pd.DataFrame(out, columns=["text_id", "doc_id"]).astype("int64")
+        yield pd.DataFrame(out, columns=["text_id", "doc_id"]).astype({"doc_id": "int64"})
 
 
 def leaked(records: DataFrame, docs: DataFrame, key: str = "claim_id", passages: str = "context", wholes: str = "claim") -> DataFrame:
@@ -254,26 +281,33 @@ def leaked(records: DataFrame, docs: DataFrame, key: str = "claim_id", passages:
     records: only held-out rows. Null and empty texts match nothing, a null key is left out; equal texts of many records
     are searched once and all their records come out, once a document. An empty table gives no rows.
     """
-    salt = F.xxhash64
     texts = records.select(F.col(key).alias("key"), F.explode(F.array(F.struct(F.col(passages).alias("text"), F.lit(False).alias("whole")), F.struct(F.col(wholes).alias("text"), F.lit(True).alias("whole")))).alias("x"))
     texts = texts.select("key", "x.text", "x.whole").where("key is not null and text is not null and trim(text) <> ''")
-    texts = texts.select("key", salt("text", "whole").alias("text_id"), "text", "whole")
+    texts = texts.select("key", F.unhex(F.md5(F.concat(F.col("whole").cast("string"), "text"))).alias("text_id"), "text", "whole")
     owners = texts.select("key", "text_id").distinct()
     parsed = texts.groupBy("text_id").agg(F.first("text").alias("text"), F.first("whole").alias("whole")).mapInArrow(_record_units, RECORD_SCHEMA).where("need > 0")
     parsed = materialize(parsed)
     short = parsed.where(" or ".join(f"(kind = '{k}' and need < {least_length(k)})" for k in GRAM)).select("kind", "need").distinct().collect()  # at most the sum of the least lengths
     exact = {k: tuple(sorted(r.need for r in short if r.kind == k)) for k in GRAM}
-    prints = parsed.mapInArrow(_record_prints, "hash bigint, text_id bigint, at int")
+    prints = parsed.mapInArrow(_record_prints, "hash bigint, text_id binary, at int, before int, after int, wide boolean")
     of_docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''")
-    doc_prints = of_docs.mapInArrow(_doc_prints(exact), "hash bigint, doc_id bigint, doc_at int")
-    hits = doc_prints.join(prints, "hash").groupBy("text_id", "doc_id", (F.col("doc_at") - F.col("at")).alias("diagonal")).agg(F.count_distinct("at").alias("hits"))
+    doc_prints = of_docs.mapInArrow(_doc_prints(exact), "hash bigint, doc_id bigint, doc_at int, before int, after int")
+    # both joins have keys that a set phrase doesn't fill on both sides: see the module's docstring
+    met = doc_prints.join(prints.select("hash").distinct(), "hash", "left_semi")
+    beside = lambda always: F.explode(F.filter(F.array(F.struct(F.lit("b").alias("side"), F.col("before").alias("unit")), F.struct(F.lit("a").alias("side"), F.col("after").alias("unit")), F.when(always, F.struct(F.lit("-").alias("side"), F.lit(1).alias("unit")))), lambda x: x["unit"] != 0))
+    of_docs_by = met.select("hash", "doc_id", "doc_at", beside(F.lit(True)).alias("x")).select("hash", "doc_id", "doc_at", "x.side", "x.unit")
+    wide = prints.where("wide").select("hash", "text_id", "at", beside(F.lit(False)).alias("x")).select("hash", "text_id", "at", "x.side", "x.unit")
+    short = prints.where("not wide").select("hash", "text_id", "at", F.lit("-").alias("side"), F.lit(1).alias("unit"))
+    hits = of_docs_by.join(wide.union(short), ["hash", "side", "unit"]).groupBy("text_id", "doc_id", (F.col("doc_at") - F.col("at")).alias("diagonal")).agg(F.count_distinct("at").alias("hits"))
     # kept hashes that a shared span of `need` units has at least: one a window
     window = F.when(F.col("kind") == "c", WINDOW["c"]).otherwise(WINDOW["w"])
     gram = F.when(F.col("kind") == "c", GRAM["c"]).otherwise(GRAM["w"])
     sure = F.greatest(F.lit(1), F.floor((F.col("need") - gram + 1) / window))
-    candidates = hits.join(parsed, "text_id").where(F.col("hits") >= sure)
-    grouped = candidates.groupBy("doc_id", F.pmod(F.xxhash64("text_id"), F.lit(16)).alias("part")).agg(F.collect_list(F.struct("text_id", "kind", "need", "diagonal", "units")).alias("candidates"))
-    found = grouped.join(of_docs, "doc_id").select("doc_id", "text", "candidates").mapInPandas(_verify, "text_id bigint, doc_id bigint")
+    # a page that reprints a test set has many: they are worked on in lots of bounded size
+    lot = F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy("text_id", "diagonal")) - 1) / TOGETHER)
+    lots = hits.join(parsed.select("text_id", "kind", "need"), "text_id").where(F.col("hits") >= sure).withColumn("lot", lot)
+    grouped = lots.drop("kind", "need").join(parsed, "text_id").groupBy("doc_id", "lot").agg(F.collect_list(F.struct("text_id", "kind", "need", "diagonal", "units")).alias("candidates"))
+    found = grouped.join(of_docs, "doc_id").select("doc_id", "text", "candidates").mapInPandas(_verify, "text_id binary, doc_id bigint")
     return found.join(owners, "text_id").select(F.col("key").alias(key), "doc_id").distinct()
 
 

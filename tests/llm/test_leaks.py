@@ -95,3 +95,31 @@ def test_winnowing_guarantee():
         h = rng.integers(0, 50, 40).astype(np.uint64)
         at = set(leaks.winnow(h, 6).tolist())
         assert all(at & set(range(i, i + 6)) for i in range(35))
+
+
+def test_a_set_phrase_of_a_third_of_both_sides(gold, documents, spark):
+    """A phrase too short to be a leak stands in many records and documents; they don't meet for it, and the leaks among them are found."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    phrase = some(14)
+    contexts = [f"{some(20)} {phrase if i % 3 == 0 else ''} {some(25)}" for i in range(300)]
+    pages = [f"{some(40)} {phrase if i % 3 == 0 else ''} {some(40)}" for i in range(300)]
+    leaks_at = {i: (i * 7) % 300 for i in range(0, 300, 11)}
+    for doc, rec in leaks_at.items():
+        pages[doc] += " " + " ".join(contexts[rec].split()[6:40])
+    df = gold(*[{"claim_id": str(i), "context": c, "split": "test"} for i, c in enumerate(contexts)])
+    docs = documents(*pages)
+    got = {(r.claim_id, r.doc_id) for r in leaks.leaked(df, docs).collect()}
+    assert got == {(str(rec), doc + 1) for doc, rec in leaks_at.items()}
+    streams = [leaks.words(t) for t in pages]
+    owner, hashes, at, before, after = leaks.fingerprints(streams, "w")
+    ro, rh, ra, rb, rf = leaks.fingerprints([leaks.words(t) for t in contexts], "w")
+    plain = {(o, r) for o, h in zip(owner, hashes, strict=True) for r, g in zip(ro, rh, strict=True) if h == g} if len(hashes) * len(rh) < 5e7 else set()
+    keyed: dict = {}
+    for r, h, b, f in zip(ro, rh, rb, rf, strict=True):
+        for key in ((h, "b", b), (h, "a", f)):
+            if key[2]:
+                keyed.setdefault(key, set()).add(r)
+    met = {(o, r) for o, h, b, f in zip(owner, hashes, before, after, strict=True) for key in ((h, "b", b), (h, "a", f)) if key[2] for r in keyed.get(key, ())}
+    assert len(met) < 3 * len(leaks_at) + 100 and (not plain or len(plain) > 50 * len(met) or len(plain) > 9_000)
