@@ -6,12 +6,17 @@ evaluation side, and the lengths of shared chunks are summed into an overlap fra
 of records. Pairs with enough overlap are then checked exactly for what may differ.
 
 A record about another number is another record, so a digest covers the record's numbers as well as
-the chunk: phrases of a template that a third of all records share don't meet in one join key.
+the chunk: phrases of a template that a third of all records share don't meet in one join key. Of the
+digests that stand on both sides, each record is looked up by its rarest ones only: those in front of the
+last ones that together are too short for the wanted overlap. Two records with enough overlap share at
+least one of these (the rarest that they share at all), so nothing is lost, and a phrase that a third of
+both sides has is a key only for records that consist of little else.
 Equal records are one class until the very end, however often they were delivered.
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -21,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import materialize
@@ -84,21 +89,37 @@ def chunks(text: str) -> list[str]:
     return out
 
 
+def pieces(claim: str | None, caption: str | None) -> tuple[dict[str, int], int, int]:
+    """A record's chunks with their summed lengths, the length of its normalised text, and the hash of its numbers."""
+    text = normal(claim) + "\n" + normal(caption)
+    found: dict[str, int] = {}
+    for x in chunks(text):
+        found[x] = found.get(x, 0) + len(x)
+    return found, len(text), xxhash.xxh3_64_intdigest(" ".join(numbers(text)).encode())
+
+
+def overlap(a: tuple[dict[str, int], int, int], b: tuple[dict[str, int], int, int]) -> float:
+    """Share of the longer record's characters in shared chunks; 0 where the numbers differ."""
+    if a[2] != b[2]:
+        return 0.0
+    return sum(min(n, b[0][x]) for x, n in a[0].items() if x in b[0]) / max(1, a[1], b[1])
+
+
+DIGESTS = "class_id binary, train boolean, eval boolean, digest bigint, size int, total int"
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, digests, sizes, totals = [], [], [], []
-        for class_id, claim, caption in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            text = normal(claim) + "\n" + normal(caption)
-            salt = xxhash.xxh3_64_intdigest(" ".join(numbers(text)).encode())
-            pieces: dict[str, int] = {}
-            for x in chunks(text):
-                pieces[x] = pieces.get(x, 0) + len(x)
-            for x, size in pieces.items():
-                ids.append(class_id)
-                digests.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), seed=salt))))
+        rows, digests, sizes, totals = [], [], [], []
+        for i, (claim, caption) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            found, total, salt = pieces(claim, caption)
+            for x, size in found.items():
+                rows.append(i)
+                digests.append(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), seed=salt))
                 sizes.append(size)
-                totals.append(len(text))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(totals, pa.int32())], names=["class_id", "digest", "size", "total"])
+                totals.append(total)
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(3)], pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(totals, pa.int32())], names=[x.split()[0] for x in DIGESTS.split(", ")])
 
 
 def _slip(a: str, b: str, name: int) -> bool:
@@ -192,9 +213,20 @@ def alike(a: str | None, b: str | None) -> bool:
 
 
 def _check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = functools.lru_cache(maxsize=4096)(pieces)
     for f in frames:
-        keep = [alike(*c) and alike(*d) for c, d in zip(zip(f["claim_a"], f["claim_b"], strict=True), zip(f["caption_a"], f["caption_b"], strict=True), strict=True)]
-        yield f.loc[keep, ["a", "b", "overlap"]]
+        shares = [overlap(known(a, c), known(b, d)) for a, b, c, d in zip(f["claim_a"], f["claim_b"], f["caption_a"], f["caption_b"], strict=True)]
+        keep = [x >= OVERLAP and alike(a, b) and alike(c, d) for x, a, b, c, d in zip(shares, f["claim_a"], f["claim_b"], f["caption_a"], f["caption_b"], strict=True)]
+        yield f.assign(overlap=shares).loc[keep, ["a", "b", "overlap"]]
+
+
+def keyed(digests: DataFrame) -> DataFrame:
+    """(digest, class_id, train, eval): the digests that stand on both sides and by which a record is looked up, its rarest ones."""
+    both = digests.groupBy("digest").agg(F.bool_or("train").alias("t"), F.bool_or("eval").alias("e"), F.count("*").alias("n")).where("t and e").select("digest", "n")
+    shared = digests.join(both, "digest")
+    # the lengths of this digest and of all more frequent ones
+    onward = F.sum("size").over(Window.partitionBy("class_id").orderBy(F.desc("n"), F.desc("digest")).rowsBetween(Window.unboundedPreceding, 0))
+    return shared.withColumn("onward", onward).where(F.col("onward") >= OVERLAP * F.col("total")).select("digest", "class_id", "train", "eval")
 
 
 def side(split: Column) -> Column:
@@ -210,18 +242,17 @@ def cross_split(records: DataFrame) -> DataFrame:
     Every row of equal records is listed. An empty table gives no rows.
     """
     rows = records.select("row_id", side(F.col("split")).alias("side"), F.coalesce("claim", F.lit("")).alias("claim"), F.coalesce("caption", F.lit("")).alias("caption"))
-    rows = rows.where("row_id is not null and side is not null and trim(claim) <> ''").withColumn("class_id", F.xxhash64("claim", "caption"))
-    classes = rows.groupBy("class_id").agg(F.first("claim").alias("claim"), F.first("caption").alias("caption"), F.bool_or(F.col("side") == "train").alias("train"), F.bool_or(F.col("side") == "eval").alias("eval"))
+    rows = rows.where("row_id is not null and side is not null and trim(claim) <> ''").withColumn("class_id", F.unhex(F.md5(F.concat_ws("\x1f", "claim", "caption"))))
+    classes = rows.groupBy("class_id").agg(F.bool_or(F.col("side") == "train").alias("train"), F.bool_or(F.col("side") == "eval").alias("eval"), F.first("claim").alias("claim"), F.first("caption").alias("caption"))
     classes = materialize(classes)
     members = rows.select("class_id", "row_id", "side")
-    of = "class_id bigint, digest bigint, size int, total int"
-    train = classes.where("train").select("class_id", "claim", "caption").mapInArrow(_digests, of).select("digest", F.col("class_id").alias("a"), F.col("size").alias("size_a"), F.col("total").alias("total_a"))
-    held = classes.where("eval").select("class_id", "claim", "caption").mapInArrow(_digests, of).select("digest", F.col("class_id").alias("b"), F.col("size").alias("size_b"), F.col("total").alias("total_b"))
-    shared = train.join(held, "digest").groupBy("a", "b").agg((F.sum(F.least("size_a", "size_b")) / F.max(F.greatest("total_a", "total_b"))).alias("overlap")).where(F.col("overlap") >= OVERLAP)
+    keys = keyed(classes.mapInArrow(_digests, DIGESTS))
+    keys = materialize(keys)
+    shared = keys.where("train").select("digest", F.col("class_id").alias("a")).join(keys.where("eval").select("digest", F.col("class_id").alias("b")), "digest").select("a", "b").distinct()
     text = classes.select("class_id", "claim", "caption")
     pairs = shared.join(text.select(F.col("class_id").alias("a"), F.col("claim").alias("claim_a"), F.col("caption").alias("caption_a")), "a")
     pairs = pairs.join(text.select(F.col("class_id").alias("b"), F.col("claim").alias("claim_b"), F.col("caption").alias("caption_b")), "b")
-    found = pairs.mapInPandas(_check, "a bigint, b bigint, overlap double")
+    found = pairs.mapInPandas(_check, "a binary, b binary, overlap double")
     of_train = members.where("side = 'train'").select(F.col("class_id").alias("a"), F.col("row_id").alias("train_row"))
     of_eval = members.where("side = 'eval'").select(F.col("class_id").alias("b"), F.col("row_id").alias("eval_row"))
     return found.join(of_train, "a").join(of_eval, "b").select("train_row", "eval_row", "overlap")

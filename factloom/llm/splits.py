@@ -23,7 +23,6 @@ NO_PAIR = ("", "no pair", "n/a", "na", "none", "null", "nan", "-", "no_pair", "n
 REGISTRY = r"^(?:arxiv|acl|peerj|doi|pmc|id)\s*[:_\-/ ]\s*"
 #: A component with at least this share of all rows is placed by room, not by hash; there are at most 1 / GIANT of them.
 GIANT = 0.005
-MOST_ROUNDS = 60
 
 
 def paper_name(paper_id: Column, paper_path: Column) -> Column:
@@ -53,7 +52,7 @@ def components(edges: DataFrame) -> DataFrame:
     alone = links.where("u = v").select(F.col("u").alias("node"))
     links = links.where("u <> v")
     seen = None
-    for _ in range(MOST_ROUNDS):
+    while True:  # every round lowers some node's least neighbour, so it ends
         # large star: every larger neighbour of a node is linked with the least of the node and its neighbours
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -67,8 +66,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds")
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component"))
     linked = stars.union(roots).distinct()

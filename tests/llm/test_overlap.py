@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from factloom.llm import overlap
@@ -60,3 +62,43 @@ def test_report(gold):
     df = gold(row("train"), {**row("test"), "source": "s"}, {**row("test"), "source": "s"})
     r = overlap.report(overlap.cross_split(df), df).first()
     assert (r.split, r.source, r.rows, r.pairs) == ("test", "s", 2, 2)
+
+
+def test_a_phrase_of_a_third_of_both_sides(gold, spark):
+    """Records without numbers share a phrase: they aren't looked up by it, and the near ones among them are found."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    phrase = some(6)
+    made = lambda i: {"claim": f"{some(16)} {phrase if i % 3 == 0 else ''} {some(10)}", "caption": some(8)}
+    rows = [made(i) | {"split": "train" if i % 2 else "dev"} for i in range(600)]
+    near = {}
+    for i in range(0, 600, 30):
+        w = rows[i]["claim"].split()
+        w[3] = w[3][1] + w[3][0] + w[3][2:]
+        rows.append({"claim": " ".join(w), "caption": rows[i]["caption"], "split": "train" if rows[i]["split"] == "dev" else "test"})
+        near[len(rows)] = i + 1
+    df = gold(*rows)
+    got = {tuple(sorted((r.train_row, r.eval_row))) for r in overlap.cross_split(df).collect()}
+    assert got == {tuple(sorted(x)) for x in near.items()}
+    classes = df.selectExpr("cast(cast(row_id as string) as binary) as class_id", "split = 'train' as train", "split <> 'train' as eval", "claim", "caption")
+    keys = overlap.keyed(classes.mapInArrow(overlap._digests, overlap.DIGESTS)).cache()
+    met = keys.where("train").join(keys.where("eval").withColumnRenamed("class_id", "other"), "digest").select("class_id", "other").distinct().count()
+    assert met < 3 * len(near)  # a third of both sides would be 10,000
+
+
+def test_rarest_digests_miss_no_pair(gold, spark):
+    """Against all pairs: every pair with enough overlap shares a digest by which both are looked up."""
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdef") for _ in range(rng.randint(4, 7))) for _ in range(12)]
+    rows = [{"claim": " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 9))), "caption": "", "split": rng.choice(["train", "dev"])} for _ in range(120)]
+    df = gold(*rows).selectExpr("cast(cast(row_id as string) as binary) as class_id", "split = 'train' as train", "split <> 'train' as eval", "claim", "caption")
+    keys = overlap.keyed(df.mapInArrow(overlap._digests, overlap.DIGESTS)).collect()
+    train, held = {}, {}
+    for k in keys:
+        (train if k.train else held).setdefault(int(bytes(k.class_id)), set()).add(k.digest)
+    of = [overlap.pieces(r["claim"], r["caption"]) for r in rows]
+    for i, a in enumerate(rows, 1):
+        for j, b in enumerate(rows, 1):
+            if a["split"] == "train" and b["split"] == "dev" and overlap.overlap(of[i - 1], of[j - 1]) >= overlap.OVERLAP:
+                assert train.get(i, set()) & held.get(j, set()), (a, b)
