@@ -5,6 +5,8 @@ Pixels are worked on with numpy in mapInPandas, one image at a time; everything
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 
-#: Grey value below which a pixel is ink; least gutter as a share of the axis and in pixels; least panel as a share of the axis.
+#: Grey value below which a pixel is ink; least gutter as a share of the axis and in pixels; least panel as a share of the axis.
 INK, GUTTER_SHARE, GUTTER_PIXELS, PANEL_SHARE = 245, 0.012, 6, 0.10
 SIZE_TOLERANCE, HEIGHT_TOLERANCE, WIDTH_TOLERANCE, ALIGNED_PIXELS, LEAST_CONFIDENCE = 0.15, 0.20, 0.30, 12.0, 0.35
 PANELS = "array<struct<x0:int,y0:int,x1:int,y1:int>>"
@@ -56,6 +58,15 @@ def swap_channels(data: bytes, channels: int) -> bytes:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, channels)[:, ::-1]).tobytes()
 
 
+def png(data: bytes, height: int, width: int, channels: int) -> bytes:
+    """Pixels (grey, or RGB) as a PNG file."""
+    rows = np.frombuffer(data, np.uint8).reshape(height, width * channels)
+    raw = np.hstack([np.zeros((height, 1), np.uint8), rows]).tobytes()  # no filter in front of each row
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    header = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
 def with_panels(images: DataFrame) -> DataFrame:
     """(image_id, panels) of images (image_id, height, width, channels, data); the pixels go no further."""
 

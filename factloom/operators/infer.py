@@ -93,6 +93,13 @@ def mode_counts(decided: DataFrame) -> DataFrame:
     return decided.groupBy("mode").agg(F.count("*").alias("n"), right.alias("right"))
 
 
+def debug_rows(rows: DataFrame, key: str, one: Column, two: Column, joint: Column) -> DataFrame:
+    """(key, mode, one, two, joint, label, calls): what led to each decision, to be written beside the predictions."""
+    decided = decide_pair(one, two, joint)
+    calls = F.when(needs_joint(one, two), 3).otherwise(2)
+    return rows.select(key, decided["mode"].alias("mode"), one.alias("one"), two.alias("two"), joint.alias("joint"), decided["label"].alias("label"), calls.alias("calls"))
+
+
 def needs_joint(one: Column, two: Column) -> Column:
     """Whether the joint call has to be made at all: only the ties are sent to the model again."""
     a, b = one.eqNullSafe(F.lit("Supported")), two.eqNullSafe(F.lit("Supported"))

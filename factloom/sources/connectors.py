@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 #: name -> function(list of ids) -> list of (id, document as a dict); ids that are not found are left out.
@@ -37,6 +38,47 @@ def fetch(ids: DataFrame, key: str, service: Callable[[list[str]], list[tuple[st
     return ids.select(key).distinct().repartition(calls, key).mapInPandas(run, f"`{key}` {kind}, found boolean, body string, error string")
 
 
+def resolve(ids: DataFrame, key: str, value: str, service: Callable[[list], list[tuple[object, dict]]], batch: int = 200) -> DataFrame:
+    """(key, value): what the service knows of each id, asked for `batch` at a time; ids that it doesn't map are left out."""
+    found = fetch(ids, key, service, batch)
+    return found.select(key, F.get_json_object("body", f"$.{value}").alias(value)).where(F.col(value).isNotNull())
+
+
+def fetch_binary(keys: DataFrame, key: str, service: Callable[[list], list[tuple[object, bytes]]], batch: int = 20, calls: int = 8) -> DataFrame:
+    """(key, found, data, error) of objects whose content is bytes, as `fetch` does for documents."""
+    kind = keys.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for lo in range(0, len(f), batch):
+                part = f[key].iloc[lo : lo + batch].tolist()
+                try:
+                    got, error = dict(service(part)), None
+                except Exception as e:  # noqa: BLE001
+                    got, error = {}, f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({key: part, "found": [None if error else i in got for i in part], "data": [got.get(i) for i in part], "error": error})
+
+    return keys.select(key).distinct().repartition(calls, key).mapInPandas(run, f"`{key}` {kind}, found boolean, data binary, error string")
+
+
+def search_pages(asked: DataFrame, service: Callable[[str, int, int], list[dict]], page: int = 100, calls: int = 8) -> DataFrame:
+    """(query, rank, pmcid, title): the first `n` hits of every query (query, n), a page at a time; a short page is the last. Queries run on several executors."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for query, n in zip(f["query"], f["n"], strict=True):
+                start = 0
+                while start < n:
+                    hits = service(query, start, min(page, int(n) - start))
+                    if hits:
+                        yield pd.DataFrame({"query": query, "rank": range(start, start + len(hits)), "pmcid": [h.get("pmcid") for h in hits], "title": [h.get("title") for h in hits]}).astype({"rank": "int32"})
+                    start += page
+                    if len(hits) < page:
+                        break
+
+    return asked.select("query", "n").repartition(calls, "query").mapInPandas(run, "query string, rank int, pmcid string, title string")
+
+
 class SearchSource(DataSource):
     """format("claim_search"): options `path` (a JSON-lines file of documents), `licences` (comma-separated), `phrase`, `n`.
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,23 @@ def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
 
 
+def json_array(df: DataFrame, path: str) -> None:
+    """A folder of JSON arrays, one a partition, written by the executors row by row; nulls are kept."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            out = [x for x in ([last] if last is not None else []) + rows]
+            first, last = last is None, out.pop() if out else last
+            if out or first and last is not None:
+                yield pa.RecordBatch.from_arrays([pa.array((["["] if first else []) + [f"{x}," for x in out], pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]"] if last is None else [last, "]"], pa.string())], names=["value"])
+
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
 def json_array_file(df: DataFrame, path: str) -> int:
     """One pretty JSON array in one file, for small exports that a tool reads as a whole. Rows are streamed, never held together."""
     n = 0
@@ -33,8 +52,8 @@ def id_list(df: DataFrame, key: str, path: str) -> None:
 
 
 def report(df: DataFrame, path: str) -> None:
-    """CSV with a header; spreadsheets open it."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header; spreadsheets open it. White space around values is kept."""
+    df.write.mode("overwrite").options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def partitioned(df: DataFrame, path: str, by: str, buckets: int = 64) -> None:

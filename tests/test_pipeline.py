@@ -180,3 +180,37 @@ def test_profile(spark):
     values = spark.createDataFrame([("t", float(i)) for i in range(1, 11)], "evi_type string, v double")
     assert {r.p90 for r in profile.footprint(values, "evi_type", "v").collect()} == {10.0}
     assert [r.field for r in profile.field_inventory(spark.createDataFrame([('{"b": 1, "a": 2}',), (None,)], "j string"), "j").collect()] == ["a", "b"]
+
+
+def test_json_arrays_of_partitions(spark, tmp_path):
+    from factloom.sources import readers, sinks
+
+    schema = spark.createDataFrame([(1, "a")], "n int, t string").schema
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else f"x\n\u2028{i},]") for i in range(50)], schema)
+    for rows in (df.repartition(7), df.limit(1), df.limit(0), df.repartition(40)):
+        sinks.json_array(rows, f"file://{tmp_path}/a")
+        assert sorted(map(tuple, readers.json_array(spark, f"file://{tmp_path}/a", schema).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_failed_calls_and_empty_objects(spark):
+    from factloom.sources import connectors
+
+    def service(ids):
+        if 3 in ids:
+            raise OSError("down")
+        return [(i, b"" if i == 1 else bytes([0, 255, i])) for i in ids if i != 2]
+
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 9, 9)], "id bigint")
+    got = {r.id: (r.found, bytes(r.data) if r.data is not None else None, r.error) for r in connectors.fetch_binary(ids, "id", service, batch=1, calls=1).collect()}
+    assert got == {1: (True, b"", None), 2: (False, None, None), 3: (None, None, "OSError: down"), 9: (True, b"\x00\xff\x09", None)}
+
+
+def test_search_stops_at_a_short_page(spark):
+    from factloom.sources import connectors
+
+    def service(query, start, size):
+        return [{"pmcid": f"{query}{i}"} for i in range(start, min(start + size, {"a": 25, "b": 0}[query]))]
+
+    asked = spark.createDataFrame([("a", 100), ("b", 5), ("a", 7)], "query string, n int")
+    got = connectors.search_pages(asked, service, page=10).groupBy("query").count().collect()
+    assert {r.query: r["count"] for r in got} == {"a": 25 + 7}
