@@ -105,21 +105,20 @@ def overlap(a: tuple[dict[str, int], int, int], b: tuple[dict[str, int], int, in
     return sum(min(n, b[0][x]) for x, n in a[0].items() if x in b[0]) / max(1, a[1], b[1])
 
 
-DIGESTS = "class_id binary, train boolean, eval boolean, digest bigint, size int, total int"
+DIGESTS = "class_id binary, digest bigint, size int, total int"
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, digests, sizes, totals = [], [], [], []
-        for i, (claim, caption) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+        for i, (claim, caption) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
             found, total, salt = pieces(claim, caption)
             for x, size in found.items():
                 rows.append(i)
                 digests.append(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), seed=salt))
                 sizes.append(size)
                 totals.append(total)
-        at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(3)], pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(totals, pa.int32())], names=[x.split()[0] for x in DIGESTS.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(totals, pa.int32())], names=[x.split()[0] for x in DIGESTS.split(", ")])
 
 
 def _slip(a: str, b: str, name: int) -> bool:
@@ -220,13 +219,21 @@ def _check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f.assign(overlap=shares).loc[keep, ["a", "b", "overlap"]]
 
 
-def keyed(digests: DataFrame) -> DataFrame:
-    """(digest, class_id, train, eval): the digests that stand on both sides and by which a record is looked up, its rarest ones."""
-    both = digests.groupBy("digest").agg(F.bool_or("train").alias("t"), F.bool_or("eval").alias("e"), F.count("*").alias("n")).where("t and e").select("digest", "n")
-    shared = digests.join(both, "digest")
-    # the lengths of this digest and of all more frequent ones
-    onward = F.sum("size").over(Window.partitionBy("class_id").orderBy(F.desc("n"), F.desc("digest")).rowsBetween(Window.unboundedPreceding, 0))
-    return shared.withColumn("onward", onward).where(F.col("onward") >= OVERLAP * F.col("total")).select("digest", "class_id", "train", "eval")
+def keyed(train: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(digest, class_id) of either side: the digests that stand on both sides and by which a record is looked up, its rarest ones.
+
+    Every join has one row a digest on its other side, so a hot digest can be split. The train side is worked out once, the
+    smaller held-out side twice.
+    """
+    shared = materialize(train.join(held.select("digest").distinct(), "digest", "left_semi"))
+    counted = shared.groupBy("digest").agg(F.count("*").alias("n"))
+
+    def rarest(digests: DataFrame) -> DataFrame:
+        # the lengths of this digest and of all more frequent ones
+        onward = F.sum("size").over(Window.partitionBy("class_id").orderBy(F.desc("n"), F.desc("digest")).rowsBetween(Window.unboundedPreceding, 0))
+        return digests.join(counted, "digest").withColumn("onward", onward).where(F.col("onward") >= OVERLAP * F.col("total")).select("digest", "class_id")
+
+    return rarest(shared), rarest(held)
 
 
 def side(split: Column) -> Column:
@@ -246,9 +253,9 @@ def cross_split(records: DataFrame) -> DataFrame:
     classes = rows.groupBy("class_id").agg(F.bool_or(F.col("side") == "train").alias("train"), F.bool_or(F.col("side") == "eval").alias("eval"), F.first("claim").alias("claim"), F.first("caption").alias("caption"))
     classes = materialize(classes)
     members = rows.select("class_id", "row_id", "side")
-    keys = keyed(classes.mapInArrow(_digests, DIGESTS))
-    keys = materialize(keys)
-    shared = keys.where("train").select("digest", F.col("class_id").alias("a")).join(keys.where("eval").select("digest", F.col("class_id").alias("b")), "digest").select("a", "b").distinct()
+    of = lambda name: classes.where(name).select("class_id", "claim", "caption").mapInArrow(_digests, DIGESTS)
+    of_train_keys, of_eval_keys = keyed(of("train"), of("eval"))
+    shared = of_train_keys.withColumnRenamed("class_id", "a").join(of_eval_keys.withColumnRenamed("class_id", "b"), "digest").select("a", "b").distinct()
     text = classes.select("class_id", "claim", "caption")
     pairs = shared.join(text.select(F.col("class_id").alias("a"), F.col("claim").alias("claim_a"), F.col("caption").alias("caption_a")), "a")
     pairs = pairs.join(text.select(F.col("class_id").alias("b"), F.col("claim").alias("claim_b"), F.col("caption").alias("caption_b")), "b")

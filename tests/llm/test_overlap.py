@@ -64,6 +64,11 @@ def test_report(gold):
     assert (r.split, r.source, r.rows, r.pairs) == ("test", "s", 2, 2)
 
 
+def sides(df):
+    for condition in ("split = 'train'", "split <> 'train'"):
+        yield df.where(condition).selectExpr("cast(cast(row_id as string) as binary) as class_id", "claim", "caption").mapInArrow(overlap._digests, overlap.DIGESTS)
+
+
 def test_a_phrase_of_a_third_of_both_sides(gold, spark):
     """Records without numbers share a phrase: they aren't looked up by it, and the near ones among them are found."""
     rng = random.Random(9)
@@ -81,9 +86,8 @@ def test_a_phrase_of_a_third_of_both_sides(gold, spark):
     df = gold(*rows)
     got = {tuple(sorted((r.train_row, r.eval_row))) for r in overlap.cross_split(df).collect()}
     assert got == {tuple(sorted(x)) for x in near.items()}
-    classes = df.selectExpr("cast(cast(row_id as string) as binary) as class_id", "split = 'train' as train", "split <> 'train' as eval", "claim", "caption")
-    keys = overlap.keyed(classes.mapInArrow(overlap._digests, overlap.DIGESTS)).cache()
-    met = keys.where("train").join(keys.where("eval").withColumnRenamed("class_id", "other"), "digest").select("class_id", "other").distinct().count()
+    train, held = overlap.keyed(*sides(df))
+    met = train.join(held.withColumnRenamed("class_id", "other"), "digest").select("class_id", "other").distinct().count()
     assert met < 3 * len(near)  # a third of both sides would be 10,000
 
 
@@ -92,11 +96,10 @@ def test_rarest_digests_miss_no_pair(gold, spark):
     rng = random.Random(2)
     vocabulary = ["".join(rng.choice("abcdef") for _ in range(rng.randint(4, 7))) for _ in range(12)]
     rows = [{"claim": " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 9))), "caption": "", "split": rng.choice(["train", "dev"])} for _ in range(120)]
-    df = gold(*rows).selectExpr("cast(cast(row_id as string) as binary) as class_id", "split = 'train' as train", "split <> 'train' as eval", "claim", "caption")
-    keys = overlap.keyed(df.mapInArrow(overlap._digests, overlap.DIGESTS)).collect()
     train, held = {}, {}
-    for k in keys:
-        (train if k.train else held).setdefault(int(bytes(k.class_id)), set()).add(k.digest)
+    for keys, found in zip(overlap.keyed(*sides(gold(*rows))), (train, held), strict=True):
+        for k in keys.collect():
+            found.setdefault(int(bytes(k.class_id)), set()).add(k.digest)
     of = [overlap.pieces(r["claim"], r["caption"]) for r in rows]
     for i, a in enumerate(rows, 1):
         for j, b in enumerate(rows, 1):
