@@ -32,9 +32,10 @@ _LURES = ("buy", "cheap", "best", "free", "online", "price", "review", "near me"
 class Writer:
     """A page's vocabulary: function words that recur, content words by a Zipf law, names."""
 
-    def __init__(self, rng: random.Random) -> None:
+    def __init__(self, rng: random.Random, unmarked: bool = False) -> None:
         self.rng = rng
-        self.unspaced = _UNSPACED[rng.random() < 0.75] if rng.random() < 0.4 else None
+        self.unspaced = _UNSPACED[unmarked or rng.random() < 0.75] if unmarked or rng.random() < 0.4 else None
+        self.again = rng.uniform(0.3, 0.95)
         self.phrases = ["".join(rng.choice(self.unspaced[0]) for _ in range(rng.randint(4, 20))) for _ in range(25)] if self.unspaced else []
         consonants, vowels = rng.choice(_ALPHABETS)
         word = lambda n: "".join(rng.choice(consonants if k % 2 == 0 else vowels) for k in range(n))
@@ -49,7 +50,7 @@ class Writer:
         rng = self.rng
         if self.unspaced:
             letters, mark = self.unspaced
-            run = lambda: rng.choice(self.phrases) if rng.random() < 0.5 else "".join(rng.choice(letters) for _ in range(rng.randint(6, 30)))
+            run = lambda: rng.choice(self.phrases) if rng.random() < self.again else "".join(rng.choice(letters) for _ in range(rng.randint(6, 30)))
             return f" {rng.choice(self.names)} ".join(run() for _ in range(rng.randint(1, 3))) + (f" {rng.random() * 90:.1f} {run()}" if rng.random() < 0.4 else "") + mark
         n = rng.randint(6, 24)
         words = [rng.choice(self.function) if rng.random() < 0.4 else rng.choices(self.content, cum_weights=self.cumulated)[0] for _ in range(n)]
@@ -88,16 +89,16 @@ class Writer:
         return [("Keywords: " + "; ".join(rng.choice([self.content, self.names])[:6]), LISTED), *self.prose()]
 
     def links(self) -> list[Line]:
-        rng, kind, out = self.rng, self.rng.randrange(5), []
+        rng, kind, out = self.rng, self.rng.randrange(6), []
         url = lambda: f"{rng.choice(['https://', 'http://', 'www.', ''])}{rng.choice(self.hosts)}{rng.choice(['', '/', '/x'])}{rng.choice(['', str(rng.randint(1, 999))])}"
         for _ in range(rng.randint(5, 30)):
             name, lure = rng.choice(self.names), rng.choice(self.lures)
-            line = [f"{url()}", f'<a href="http://{rng.choice(self.hosts)}/{rng.randint(1, 99)}">{name} {lure}</a>', f"- [{name} {lure}](https://{rng.choice(self.hosts)}/{rng.randint(1, 99)})", f"{name} >> {url()}", f"{name} {lure} | {url()} | {url()}"][kind]
+            line = [f"{url()}", f'<a href="http://{rng.choice(self.hosts)}/{rng.randint(1, 99)}">{name} {lure}</a>', f"- [{name} {lure}](https://{rng.choice(self.hosts)}/{rng.randint(1, 99)})", f"{name} >> {url()}", f"{name} {lure} | {url()} | {url()}", f"{' '.join([name] * rng.randint(1, 6))} {url()}"][kind]
             out.append((line, LINKS) if rng.random() > 0.06 else (f"{name} {rng.choice(self.content)}", LINKS))
         return out
 
     def tags(self) -> list[Line]:
-        rng, kind = self.rng, self.rng.randrange(5)
+        rng, kind = self.rng, self.rng.randrange(6)
         item = lambda: f"{rng.choice(self.names)} {rng.choice(self.lures)}" if rng.random() < 0.7 else f"{rng.choice(self.lures)} {rng.choice(self.names)}"
         n = rng.randint(20, 120)
         if kind == 0:
@@ -108,6 +109,9 @@ class Writer:
             return [("Tags: " + rng.choice([" | ", "; ", " · "]).join(item() for _ in range(n)), KEYWORDS)]
         if kind == 3:
             return [(" ".join(rng.choice(self.names) for _ in range(n)), KEYWORDS)]
+        if kind == 4:  # keywords dressed up as sentences
+            thing = f"{rng.choice(self.names)} {rng.choice(self.content)}"
+            return [(" ".join(f"{rng.choice(self.lures).capitalize()} {thing} {rng.choice(self.lures)} {thing}." for _ in range(n // 4)), KEYWORDS)]
         return [(f"{item()}, {item()}, {item()}{rng.choice(['', '.'])}", KEYWORDS) for _ in range(n // 4)]
 
     def menu(self) -> list[Line]:
@@ -116,7 +120,9 @@ class Writer:
 
 
 def page(rng: random.Random) -> list[Line]:
-    """A page of labelled lines: a third are prose, a third are spam, the rest have both."""
+    """A page of labelled lines: one in ten is short and without final marks; of the others a third are prose, a third are spam, the rest have both."""
+    if rng.random() < 0.1:  # short ones without final marks, where chance makes much of a line repeat
+        return [(" ".join(x for w in [Writer(rng, unmarked=True)] for x in (w.sentence() for _ in range(rng.randint(2, 6)))), UNMARKED)]
     w = Writer(rng)
     spam = lambda: rng.choice((w.links, w.tags, w.menu))()
     fine = lambda: w.prose() if rng.random() < 0.5 else w.listed()
