@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
+from factloom.session import cut
 
 #: Preference of figure files by extension, best first (fixed values).
 EXTENSIONS = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".gif")
@@ -37,7 +38,7 @@ def quotas(candidates: DataFrame, targets: list[tuple[str, int]], key: str, buck
             mine = mine.join(kept.select(key), key, "left_anti")
         once = mine.withColumn("_again", F.row_number().over(Window.partitionBy(key).orderBy(rank))).where("_again = 1").drop("_again")
         took = once.orderBy(rank, key).limit(target)
-        kept = took if kept is None else kept.union(took)
+        kept = cut(took if kept is None else kept.union(took))  # at most the targets' rows; without it each plan would hold all earlier ones
     return kept if kept is not None else candidates.limit(0)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "factloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,6 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written once into the shared folder and read back: its lineage ends here, and it survives the loss of executors."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once a session: they may not share the driver's path."""
     import hashlib

@@ -98,5 +98,5 @@ def test_swap_figures(spark):
 
 
 def test_wrapping():
-    assert figures.wrapped("aa bb cccccc d", 4) == ["aa", "bb", "cccc", "cc d"] or figures.wrapped("aa bb", 5) == ["aa bb"]
+    assert figures.wrapped("aa bb cccccc d", 4) == ["aa", "bb", "cccc", "cc d"] and figures.wrapped("aa bb", 5) == ["aa bb"]
     assert figures.wrapped("", 4) == [""]
