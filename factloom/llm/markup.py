@@ -40,6 +40,7 @@ COMMANDS = r"\\(?:[A-Za-z]+\*?(?:\[[^\[\]\n]*\])?|[()\[\]{}%&_#,;:!\\$])"
 FORMULA = r"(?:\\[A-Za-z]|\^|_\{|\b[A-Za-z]_[A-Za-z0-9]\b)"
 SEGMENT = re.compile(
     r"""
+    (?=[<&!\[{|$\\_^'*~`=\#>]|(?m:^))(?:  # nothing else can start one within a line: most characters are passed over at once
     (?P<fence>```[^\n`]*)
   | (?P<comment><!--.*?(?:-->|$))
   | (?P<tag></?[A-Za-z][A-Za-z0-9:-]*(?:\s+[^<>]*)?/?>)
@@ -72,6 +73,7 @@ SEGMENT = re.compile(
   | (?P<row>(?m:^[ \t]*\|[^\n]*\|[ \t]*$|^[ \t]*\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+[^\n]*$|^[ \t]*\|[ \t][^\n]*$|^[^|\n]+(?:[ \t]\|[ \t][^|\n]+)+$))
   | (?P<quote>(?m:^[ \t]*>[ \t]?))
   | (?P<item>(?m:^[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+(?=\S)))
+    )
 """,
     re.X | re.S,
 )
